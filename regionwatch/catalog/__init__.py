@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import base, feature_queries, forecast_queries, hotspot_queries, panel_queries  # noqa: F401
+    from . import base, feature_queries, forecast_queries, hotspot_queries, io_queries, panel_queries  # noqa: F401
 
     return base
 
