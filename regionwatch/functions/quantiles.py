@@ -29,13 +29,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         numbers,
         "_s",
         **{
-            f"{c}__{name}": agg
+            f"{c}__{name}": F.expr(agg)
             for c in columns
             for name, agg in (
-                ("n", F.count(c)),
-                ("min", F.min(c)),
-                ("max", F.max(c)),
-                ("cuts", F.percentile_approx(c, cuts, SKETCH_ACCURACY)),
+                ("n", f"count(`{c}`)"),
+                ("min", f"min(`{c}`)"),
+                ("max", f"max(`{c}`)"),
+                ("cuts", f"percentile_approx(`{c}`, array({', '.join(f'{v!r}D' for v in cuts)}), {SKETCH_ACCURACY})"),
             )
         },
     )
@@ -84,7 +84,7 @@ def with_quantiles(
     row = one_row(
         table,
         **{
-            f"q{i}": F.max(F.when((F.col("column") == c) & (F.col("probability") == p), F.col("value")))
+            f"q{i}": F.expr(f"max(value) FILTER (WHERE column = '{c}' AND probability = {p!r}D)")
             for i, (c, p) in enumerate(keys)
         },
     )

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "region
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # as many partitions as cores already; merging small ones would idle cores on window work
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
