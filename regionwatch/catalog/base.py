@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .. import params as P
 from ..plans.jobs import clean_panel, feature_job
@@ -27,13 +27,13 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, integers as bigint: the form in which results are compared."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(TIE_OFFSET), digits)
+            c = f"round(double({c}) + {TIE_OFFSET!r}D, {digits}) AS {c}"
         elif isinstance(f.dataType, T.IntegralType):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"bigint({c}) AS {c}"
+        out.append(c)
+    return df.selectExpr(*out)
 
 
 def query(

@@ -69,7 +69,7 @@ def w08(spark, folder):
 
 @query("w09_anomaly_flags", f"SELECT date, zipcode, {', '.join(c + '_anomaly' for c in P.ANOMALY_COLUMNS)} FROM flagged", needs=["flagged"])
 def w09(spark, folder):
-    df = panel(spark, folder, *P.ANOMALY_COLUMNS).withColumns(windows.zscore_anomalies())
+    df = windows.with_zscore_anomalies(panel(spark, folder, *P.ANOMALY_COLUMNS))
     return df.select("date", "zipcode", *[f"{c}_anomaly" for c in P.ANOMALY_COLUMNS])
 
 
@@ -201,7 +201,7 @@ def r10(spark, folder):
 @query("r11_anomaly_count", f"""SELECT date, zipcode, {base.FLAG_SUM} AS anomalies,
     {base.minmax_sql(base.FLAG_SUM, 'lo_anomaly_count', 'hi_anomaly_count')} AS scaled FROM flagged, bounds""", needs=["flagged", "bounds"], doubles=["scaled"])
 def r11(spark, folder):
-    df = panel(spark, folder, *P.ANOMALY_COLUMNS).withColumns(windows.zscore_anomalies())
+    df = windows.with_zscore_anomalies(panel(spark, folder, *P.ANOMALY_COLUMNS))
     count = scores.anomaly_count(df)
     bounded, out = scores.with_minmax(df, {"scaled": count})
     return bounded.select("date", "zipcode", count.cast("bigint").alias("anomalies"), out["scaled"].alias("scaled"))
@@ -319,7 +319,7 @@ def p07(spark, folder):
 
 @query("p08_anomaly_rows", "SELECT zipcode, date, er_visits FROM flagged WHERE er_visits_anomaly = 1", needs=["flagged"], doubles=["er_visits"])
 def p08(spark, folder):
-    df = panel(spark, folder, "er_visits").withColumns(windows.zscore_anomalies(["er_visits"]))
+    df = windows.with_zscore_anomalies(panel(spark, folder, "er_visits"), ["er_visits"])
     return region.anomaly_rows(df)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import windows
-from ..functions.guards import clip
 from ..operators import clean, lookup, merge, quality, region
 from ..plans import jobs
 from ..sources import derived, tables

@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import params as P
-from .guards import clip, present
+from .guards import present
 
 
 def by_date():
@@ -28,12 +28,27 @@ def whole():
     return W.partitionBy("zipcode")
 
 
-def trailing(rows: int):
-    return by_date().rowsBetween(-(rows - 1), 0)
+# Expressions are SQL text: one call to the JVM each, where a column built step by
+# step takes a dozen, and the feature job has more than a hundred.
+SPEC = "PARTITION BY zipcode ORDER BY date"
+
+
+def trailing(rows: int) -> str:
+    return f"OVER ({SPEC} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
 def lags(columns: Iterable[str], days: Iterable[int] = P.LAG_DAYS) -> dict[str, Column]:
-    return {f"{c}_lag_{k}": F.lag(c, k).over(by_date()) for c in columns for k in days}
+    return {f"{c}_lag_{k}": F.expr(f"lag(`{c}`, {k}) OVER ({SPEC})") for c in columns for k in days}
+
+
+# --- Fixed values: rolling statistics; a single row has deviation 0 ---
+ROLLING = {
+    "mean": "avg(`{c}`) {w}",
+    "std": "coalesce(stddev_samp(`{c}`) {w}, 0D)",
+    "max": "max(`{c}`) {w}",
+    "min": "min(`{c}`) {w}",
+    "sum": "sum(`{c}`) {w}",
+}
 
 
 def rolling(
@@ -41,38 +56,37 @@ def rolling(
     windows: Iterable[int] = P.ROLLING_WINDOWS,
     stats: Iterable[str] = P.ROLLING_STATS,
 ) -> dict[str, Column]:
-    build = {
-        "mean": lambda c, w: F.avg(c).over(w),
-        "std": lambda c, w: F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)),
-        "max": lambda c, w: F.max(c).over(w),
-        "min": lambda c, w: F.min(c).over(w),
-        "sum": lambda c, w: F.sum(c).over(w),
-    }
     return {
-        f"{c}_roll_{n}_{s}": build[s](c, trailing(n))
+        f"{c}_roll_{n}_{s}": F.expr(ROLLING[s].format(c=c, w=trailing(n)))
         for c in columns for n in windows for s in stats
     }
 
 
 def pad_forward(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Replace nulls with the region's last earlier value."""
-    running = by_date().rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(running) for c in columns})
+    running = f"OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return df.withColumns({c: F.expr(f"last(`{c}`, true) {running}") for c in columns})
 
 
-def change(current: Column, earlier: Column, limit: float = P.CHANGE_LIMIT) -> Column:
-    """current / earlier - 1 within +-limit; no earlier value, or 0/0, gives 0."""
-    from_zero = F.when(current > 0, limit).when(current < 0, -limit).otherwise(0.0)
-    moved = clip(current / F.when(earlier != 0, earlier) - 1, -limit, limit)
-    return F.when(earlier == 0, from_zero).otherwise(F.coalesce(moved, F.lit(0.0)))
+def earlier_values(columns: Iterable[str], periods: Iterable[int] = P.CHANGE_PERIODS) -> dict[str, Column]:
+    """The values ``pct_changes`` compares with; windowed once, then read several times."""
+    return {f"_before_{c}_{p}": F.expr(f"lag(`{c}`, {p}) OVER ({SPEC})") for c in columns for p in periods}
 
 
-def pct_changes(columns: Iterable[str], periods: Iterable[int] = P.CHANGE_PERIODS) -> dict[str, Column]:
-    """Expects columns without inner nulls (imputed, or ``pad_forward`` first)."""
-    return {
-        f"{c}_pct_change_{p}": change(F.col(c), F.lag(c, p).over(by_date()))
-        for c in columns for p in periods
-    }
+def pct_changes(
+    columns: Iterable[str], periods: Iterable[int] = P.CHANGE_PERIODS, limit: float = P.CHANGE_LIMIT
+) -> dict[str, Column]:
+    """current / earlier - 1 within +-limit; no earlier value, or 0/0, gives 0.
+
+    Reads the columns of ``earlier_values``. Expects signals without inner nulls
+    (imputed, or ``pad_forward`` first).
+    """
+    text = (
+        "CASE WHEN `_before_{c}_{p}` = 0 THEN if(`{c}` > 0, {m}D, if(`{c}` < 0, -{m}D, 0D)) "
+        "WHEN `{c}` IS NULL OR `_before_{c}_{p}` IS NULL THEN 0D "
+        "ELSE greatest(least(`{c}` / `_before_{c}_{p}` - 1, {m}D), -{m}D) END"
+    )
+    return {f"{c}_pct_change_{p}": F.expr(text.format(c=c, p=p, m=limit)) for c in columns for p in periods}
 
 
 def rolling_zscore(
@@ -82,10 +96,11 @@ def rolling_zscore(
     epsilon: float = P.STD_EPSILON,
 ) -> Column:
     """(x - mean) / (std + epsilon) over the trailing rows; too few values or a constant frame gives 0."""
-    w = trailing(window)
-    enough = (F.count(column).over(w) >= min_values) & (F.max(column).over(w) > F.min(column).over(w))
-    z = (F.col(column) - F.avg(column).over(w)) / (F.stddev_samp(column).over(w) + F.lit(epsilon))
-    return F.coalesce(F.when(enough, z), F.lit(0.0))
+    c, w = f"`{column}`", trailing(window)
+    return F.expr(
+        f"coalesce(CASE WHEN count({c}) {w} >= {min_values} AND max({c}) {w} > min({c}) {w} "
+        f"THEN ({c} - avg({c}) {w}) / (stddev_samp({c}) {w} + {epsilon!r}D) END, 0D)"
+    )
 
 
 def strict_zscore(column: str, window: int = P.ANOMALY_WINDOW) -> Column:
@@ -97,17 +112,23 @@ def flag(z: Column, threshold: float = P.ANOMALY_THRESHOLD) -> Column:
     return (F.abs(F.round(z, 4)) > threshold).cast("int")
 
 
-def zscore_anomalies(
+def zscores(columns: Iterable[str] = P.ANOMALY_COLUMNS, window: int = P.ANOMALY_WINDOW) -> dict[str, Column]:
+    return {f"{c}_zscore": rolling_zscore(c, window) for c in columns}
+
+
+def flags(columns: Iterable[str] = P.ANOMALY_COLUMNS, threshold: float = P.ANOMALY_THRESHOLD) -> dict[str, Column]:
+    """Anomaly flags from the z-score columns, after these are computed."""
+    return {f"{c}_anomaly": flag(F.col(f"{c}_zscore"), threshold) for c in columns}
+
+
+def with_zscore_anomalies(
+    df: DataFrame,
     columns: Iterable[str] = P.ANOMALY_COLUMNS,
     window: int = P.ANOMALY_WINDOW,
     threshold: float = P.ANOMALY_THRESHOLD,
-) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for c in columns:
-        z = rolling_zscore(c, window)
-        out[f"{c}_zscore"] = z
-        out[f"{c}_anomaly"] = flag(z, threshold)
-    return out
+) -> DataFrame:
+    columns = present(df, columns)
+    return df.withColumns(zscores(columns, window)).withColumns(flags(columns, threshold))
 
 
 def seasonal_residuals(df: DataFrame, columns: Iterable[str], period: int = P.SEASONAL_PERIOD) -> DataFrame:
@@ -170,15 +191,10 @@ def fill_within_region(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     After the forward fill only the rows before a region's first value are empty,
     so the backward fill is that first value: one window specification, one sort.
     """
-    running = by_date().rowsBetween(W.unboundedPreceding, 0)
-    all_days = by_date().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    running = f"OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    all_days = f"OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return df.withColumns(
-        {
-            c: F.coalesce(
-                F.last(c, ignorenulls=True).over(running), F.first(c, ignorenulls=True).over(all_days)
-            )
-            for c in columns
-        }
+        {c: F.expr(f"coalesce(last(`{c}`, true) {running}, first(`{c}`, true) {all_days})") for c in columns}
     )
 
 

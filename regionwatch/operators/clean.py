@@ -23,8 +23,7 @@ def fix_types(df: DataFrame, numeric: Sequence[str] = P.NUMERIC_COLUMNS) -> Data
         "zipcode": F.col("zipcode").cast("string"),
     }
     for c in present(df, numeric):
-        number = F.col(c).try_cast("double")
-        new[c] = F.when(~F.isnan(number), number)
+        new[c] = F.expr(f"nullif(try_cast(`{c}` AS DOUBLE), double('NaN'))")
     return df.withColumns(new)
 
 
@@ -43,7 +42,14 @@ def impute(df: DataFrame, columns: Sequence[str] = P.NUMERIC_COLUMNS) -> DataFra
 
 
 def cap_to_ranges(df: DataFrame, ranges: Mapping[str, tuple] = P.PHYSICAL_RANGES) -> DataFrame:
-    return df.withColumns({c: clip(F.col(c), lo, hi) for c, (lo, hi) in ranges.items() if c in df.columns})
+    bound = lambda v, f, text: text if v is None else f"{f}({text}, {float(v)!r}D)"
+    text = lambda c, lo, hi: bound(hi, "least", bound(lo, "greatest", f"`{c}`"))
+    return df.withColumns(
+        {
+            c: F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN {text(c, lo, hi)} END")
+            for c, (lo, hi) in ranges.items() if c in df.columns
+        }
+    )
 
 
 def clean(df: DataFrame, order: Sequence = (), unique: bool = False) -> DataFrame:

@@ -24,10 +24,13 @@ def windowed_features(df: DataFrame, imputed: bool = True) -> DataFrame:
         **windows.lags(present(df, P.LAG_COLUMNS)),
         **windows.rolling(present(df, P.ROLLING_COLUMNS)),
     }
+    anomaly_columns = present(df, P.ANOMALY_COLUMNS)
+    new.update(windows.zscores(anomaly_columns))
+    later = windows.flags(anomaly_columns)
+    earlier = windows.earlier_values(change_columns) if imputed else {}
     if imputed:
-        new.update(windows.pct_changes(change_columns))
-    new.update(windows.zscore_anomalies(present(df, P.ANOMALY_COLUMNS)))
-    out = df.withColumns(new)
+        later.update(windows.pct_changes(change_columns))
+    out = df.withColumns({**new, **earlier}).withColumns(later).drop(*earlier)
     return out if imputed else with_pct_changes(out, change_columns)
 
 
@@ -36,7 +39,8 @@ def with_pct_changes(df: DataFrame, columns=P.CHANGE_COLUMNS, periods=P.CHANGE_P
     columns = present(df, columns)
     kept = {f"_raw_{c}": c for c in columns}
     raw = df.withColumns({new: df[c] for new, c in kept.items()})
-    padded = windows.pad_forward(raw, columns).withColumns(windows.pct_changes(columns, periods))
+    padded = windows.pad_forward(raw, columns).withColumns(windows.earlier_values(columns, periods))
+    padded = padded.withColumns(windows.pct_changes(columns, periods))
     names = [f"{c}_pct_change_{p}" for c in columns for p in periods]
     restored = padded.withColumns({c: padded[new] for new, c in kept.items()})
     return restored.select(*df.columns, *names)

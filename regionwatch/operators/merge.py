@@ -42,8 +42,8 @@ def outer_merge(sources: Mapping[str, DataFrame | None], keys: Sequence[str] = P
         normal = [keep_first(df, keys) for df in normal]
     values = list(dict.fromkeys(c for df in normal for c in df.columns if c not in keys))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), normal)
-    # one non-null value per key and column, so any_value has nothing to choose from
-    return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+    # at most one non-null value per key and column, so ``first`` has nothing to choose from
+    return stacked.groupBy(*keys).agg(*[F.expr(f"first(`{c}`, true) AS `{c}`") for c in values])
 
 
 def inner_merge(sources: Sequence[DataFrame], keys: Sequence[str] = P.KEYS) -> DataFrame:
