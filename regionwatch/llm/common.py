@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import work_folder
 
@@ -49,3 +49,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Elements whose sums are made one after the other; sums of so many such stretches likewise.
+STRETCH = 256
+
+
+def _running(values: Column) -> Column:
+    """Running sums, each inclusive; the work is the square of the length."""
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+
+
+def prefix_sums(values: Column) -> Column:
+    """Inclusive running sums of an array of longs, in stretches so that long arrays stay cheap."""
+    stretches = F.when(F.size(values) > 0, F.sequence(F.lit(0), ((F.size(values) - 1) / STRETCH).cast("int"))).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(stretches, lambda k: _running(F.slice(values, k * STRETCH + 1, STRETCH)))
+    tops = _running(F.transform(sums, lambda s: F.get(s, F.size(s) - 1)))
+    both = F.arrays_zip(sums.alias("s"), tops.alias("t"))
+    return F.flatten(F.transform(both, lambda z: F.transform(z["s"], lambda x: x + z["t"] - F.get(z["s"], F.size(z["s"]) - 1))))
