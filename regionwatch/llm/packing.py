@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, slices
-from .tokens import text_pieces
+from .tokens import encoded_pieces, text_pieces, vocabulary
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces that are packed together.
 GROUP = 50_000
 #: Distinct pieces of text whose ids a worker remembers; the table starts anew beyond it.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,13 +41,13 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Token ids of texts; each distinct piece is encoded once and remembered.
+    """Token ids of texts, as the tokenizers library gives them; each distinct piece is encoded once and remembered.
 
     No pre-token spans two pieces, so the ids of a text are those of its pieces in a row.
     """
 
     def __init__(self, path: str) -> None:
-        self.tool = tokenizer(path)
+        self.path = path
         self._forget()
 
     def _forget(self) -> None:
@@ -57,12 +57,17 @@ class Encoder:
         self.sizes = np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.tool.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        plain = [w for w in new if b"<|" not in w]
+        ids, sizes = encoded_pieces(vocabulary(self.path), plain)
+        odd = [w for w in new if b"<|" in w]  # may hold special tokens: the library encodes them
+        if odd:
+            got = [e.ids for e in tokenizer(self.path).encode_batch([w.decode("utf-8", "surrogatepass") for w in odd], add_special_tokens=False)]
+            ids = np.concatenate([ids, *(np.array(g, np.uint32) for g in got)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, got), np.int64, len(got))])
+        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         words = [text_pieces(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]

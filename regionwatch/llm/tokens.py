@@ -91,34 +91,34 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merged_counts(vocab: Vocabulary, pre_tokens: list[bytes]) -> np.ndarray:
-    """Symbols that survive in each pre-token; none of them is empty."""
-    counts = np.zeros(len(pre_tokens), np.int64)
+def merged(vocab: Vocabulary, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that survive, pre-token after pre-token, and how many each has; no pre-token is empty."""
     lengths = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
     raw = np.frombuffer(b"".join(pre_tokens), np.uint8)
     symbols = vocab.inner[raw]
     ends = np.cumsum(lengths) - 1
     symbols[ends] = vocab.last[raw[ends]]
     owner = np.repeat(np.arange(len(pre_tokens)), lengths)
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbols):
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         rank, product = vocab.find(symbols, np.r_[symbols[1:], 0])
         rank[np.r_[starts[1:], len(symbols)] - 1] = NEVER  # no pair goes beyond its pre-token
         best = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.r_[starts, len(symbols)])
-        done = best == NEVER
-        counts[owner[starts[done]]] = sizes[done]
-        hit = (rank == np.repeat(best, sizes)) & (rank < NEVER)
+        done = np.repeat(best == NEVER, sizes)
+        ready.append((owner[done], symbols[done]))
         # x x x: neighbouring hits overlap; every second one of a run, from its start, is applied
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank < NEVER))
         fresh = np.r_[True, np.diff(at) > 1]
         run = at[fresh][np.cumsum(fresh) - 1] if len(at) else at
         at = at[(at - run) % 2 == 0]
         symbols[at] = product[at]
-        keep = ~np.repeat(done, sizes)
+        keep = ~done
         keep[at + 1] = False
         symbols, owner = symbols[keep], owner[keep]
-    return counts
+    owner, symbols = (np.concatenate(x) for x in zip(*ready)) if ready else (owner, symbols)
+    return symbols[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pre_tokens))
 
 
 #: Lower case of letters that came with Unicode 16, for an older table in Python.
@@ -133,9 +133,16 @@ def normal(piece: str) -> str:
     return piece.lower() if "Σ" not in piece else "".join(map(str.lower, piece))
 
 
-def count_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[int]:
-    """Tokens of each piece of text."""
-    counts = [0] * len(pieces)
+def pre_tokens_of(piece: str) -> list[str]:
+    """A piece of letters alone is one pre-token; any other is split by the pattern."""
+    piece = normal(piece)
+    return [piece] if piece.isalpha() else PRE_TOKENS.findall(piece)
+
+
+def encoded_pieces(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces without special tokens, piece after piece, and how many each has."""
+    ids: list[np.ndarray] = []
+    sizes = np.zeros(len(pieces), np.int64)
     held: list[bytes] = []
     of: list[int] = []
     size = 0
@@ -143,28 +150,44 @@ def count_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[int]:
     def flush() -> None:
         nonlocal size
         if held:
-            for i, n in zip(of, merged_counts(vocab, held).tolist()):
-                counts[i] += n
+            symbols, counts = merged(vocab, held)
+            ids.append(symbols.astype(np.uint32))
+            np.add.at(sizes, of, counts)
             held.clear()
             of.clear()
             size = 0
 
     for i, raw in enumerate(pieces):
-        text = raw.decode("utf-8", "surrogatepass")
-        parts = [text]
-        if "<|" in text:
-            parts = vocab.cut.split(text)
-            counts[i] += len(parts) - 1
-        for part in parts:
-            for token in PRE_TOKENS.findall(normal(part)):
-                b = token.encode("utf-8", "surrogatepass")
-                if size + len(b) > MERGED_AT_A_TIME:
-                    flush()
-                held.append(b)
-                of.append(i)
-                size += len(b)
+        if raw.isalpha() and raw.islower():
+            tokens = (raw,)
+        else:
+            tokens = [t.encode("utf-8", "surrogatepass") for t in pre_tokens_of(raw.decode("utf-8", "surrogatepass"))]
+        for t in tokens:
+            if size + len(t) > MERGED_AT_A_TIME:
+                flush()
+            held.append(t)
+            of.append(i)
+            size += len(t)
     flush()
-    return counts
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), sizes
+
+
+def count_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[int]:
+    """Tokens of each piece of text; a special token's string is one."""
+    parts: list[bytes] = []
+    of: list[int] = []
+    counts = np.zeros(len(pieces), np.int64)
+    for i, raw in enumerate(pieces):
+        if b"<|" in raw:
+            cut = vocab.cut.split(raw.decode("utf-8", "surrogatepass"))
+            counts[i] += len(cut) - 1
+            parts += [c.encode("utf-8", "surrogatepass") for c in cut]
+            of += [i] * len(cut)
+        else:
+            parts.append(raw)
+            of.append(i)
+    np.add.at(counts, of, encoded_pieces(vocab, parts)[1])
+    return counts.tolist()
 
 
 class Counter:
