@@ -95,10 +95,6 @@ def featured(spark: SparkSession, folder: str) -> DataFrame:
 NUMERIC = P.NUMERIC_COLUMNS
 
 
-def days(column: str) -> str:
-    return f"{column} >= TIMESTAMP '{derived.FIRST_DAY}' AND {column} < TIMESTAMP '{derived.END_DAY}'"
-
-
 def key(column: str) -> str:
     return f"CAST(10000 + {column} % {derived.REGION_COUNT} AS VARCHAR)"
 
@@ -171,7 +167,7 @@ def zscore_sql(c: str, n: int = 30, k: int = 5, eps: float = 1e-8) -> str:
 
 
 def flag_sql(z: str, t: float = 2.5) -> str:
-    return f"CASE WHEN abs(round({z}, 4)) > {t} THEN 1 ELSE 0 END"
+    return f"CASE WHEN abs({z}) > {t} THEN 1 ELSE 0 END"
 
 
 RUNNING = f"OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -231,30 +227,30 @@ BLOCKS: dict[str, tuple[Sequence[str], str]] = {
     "pharmacy": ((), f"""
         SELECT CAST(o_orderdate AS DATE) AS date, {key('o_custkey')} AS zipcode,
                {dec_sum('o_totalprice')} / 1000 AS pharmacy_sales, bool_or(o_orderpriority = '1-URGENT') AS outbreak_event
-        FROM orders WHERE {days('o_orderdate')} GROUP BY 1, 2"""),
+        FROM orders GROUP BY 1, 2"""),
     "social_media": ((), f"""
         SELECT CAST(l_shipdate AS DATE) AS date, {key('l_suppkey')} AS zipcode,
                CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) / count(*) AS negative_sentiment,
                count(*) AS post_volume,
                CAST(count(*) FILTER (l_linestatus = 'O') AS DOUBLE) / count(*) AS symptom_mention_rate
-        FROM lineitem WHERE {days('l_shipdate')} GROUP BY 1, 2"""),
+        FROM lineitem GROUP BY 1, 2"""),
     "weather": ((), f"""
         SELECT CAST(l_shipdate AS DATE) AS date, {key('l_partkey')} AS zipcode,
                {dec_sum('l_quantity')} / count(l_quantity) - 8 AS temperature_c,
                {dec_sum('l_tax')} / count(l_tax) * 1000 AS humidity_pct,
                max(l_discount) * 100 AS precipitation_mm,
                CAST(sum(l_linenumber) AS DOUBLE) / count(*) * 5 AS wind_speed_kmh
-        FROM lineitem WHERE {days('l_shipdate')} GROUP BY 1, 2"""),
+        FROM lineitem GROUP BY 1, 2"""),
     "air": ((), f"""
         SELECT *, {category_sql('aqi')} AS aqi_category FROM (
         SELECT CAST(l_shipdate AS DATE) AS date, {key('l_orderkey')} AS zipcode,
                {dec_sum('l_extendedprice')} / count(l_extendedprice) / 500 AS aqi,
                {dec_sum('l_extendedprice')} / count(l_extendedprice) / 1250 AS pm25_ugm3
-        FROM lineitem WHERE {days('l_shipdate')} GROUP BY 1, 2) AS a"""),
+        FROM lineitem GROUP BY 1, 2) AS a"""),
     "er": ((), f"""
         SELECT CAST(o_orderdate AS DATE) AS date, {key('o_orderkey')} AS zipcode,
                count(*) * 10 + 5 * count(*) FILTER (o_orderstatus = 'F') AS er_visits
-        FROM orders WHERE {days('o_orderdate')} GROUP BY 1, 2"""),
+        FROM orders GROUP BY 1, 2"""),
     "regions": ((), region_values()),
     "merged": (("pharmacy", "social_media", "weather", "air", "er", "regions"), """
         SELECT m.*, r.city, r.state, r.lat, r.lon FROM (

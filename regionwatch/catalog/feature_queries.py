@@ -74,7 +74,7 @@ def w09(spark, folder):
 
 
 @query("w10_strict_zscore", f"""SELECT * FROM (SELECT date, zipcode, pharmacy_sales, {base.zscore_sql('pharmacy_sales', 30, 30, 0.0)} AS pharmacy_zscore FROM clean) AS z
-    WHERE abs(round(pharmacy_zscore, 4)) > 2.5""", needs=["clean"], doubles=["pharmacy_sales", "pharmacy_zscore"])
+    WHERE abs(pharmacy_zscore) > 2.5""", needs=["clean"], doubles=["pharmacy_sales", "pharmacy_zscore"])
 def w10(spark, folder):
     z = panel(spark, folder, "pharmacy_sales").withColumn("pharmacy_zscore", windows.strict_zscore("pharmacy_sales"))
     return z.filter(windows.flag(F.col("pharmacy_zscore")) == 1)
@@ -94,7 +94,7 @@ def w11(spark, folder):
 
 
 @query("w12_residual_anomaly", """
-    SELECT date, zipcode, z AS pharmacy_sales_zscore, CASE WHEN abs(round(z, 4)) > 2.5 THEN 1 ELSE 0 END AS pharmacy_sales_anomaly
+    SELECT date, zipcode, z AS pharmacy_sales_zscore, CASE WHEN abs(z) > 2.5 THEN 1 ELSE 0 END AS pharmacy_sales_anomaly
     FROM (SELECT date, zipcode, resid / (coalesce(stddev_samp(resid) OVER (PARTITION BY zipcode), 1) + 1e-8) AS z FROM residuals) AS r""",
        needs=["residuals"], doubles=["pharmacy_sales_zscore"])
 def w12(spark, folder):

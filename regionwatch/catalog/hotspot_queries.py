@@ -10,6 +10,8 @@ from ..sources import derived
 from .base import BLOCKS, cleaned, featured, key, query
 
 EPS = 0.35
+# small, so that blocks are split and rounds run on the smallest tables too
+BLOCK, FINISH = 256, 500
 
 
 def customer_regions(spark, folder):
@@ -50,9 +52,12 @@ def customer_matrix(spark, folder):
     return hotspots.feature_matrix(customer_regions(spark, folder))
 
 
-REGION_X = ", ".join(
+REGION_PARTS = (
     [f"{normal(c, 'stddev_samp', 2.0, 'summary')} AS x{i}" for i, c in enumerate(("lat", "lon"))]
     + [f"{normal(c, 'stddev_pop', 1.0, 'summary')} AS x{i + 2}" for i, c in enumerate(P.CLUSTER_COLUMNS)])
+REGION_X = ", ".join(REGION_PARTS)
+# among 15 regions nothing is closer than the default distance; at this one some are linked and some are noise
+WIDE = 2.0
 
 
 @query("h01_feature_matrix", f"SELECT zipcode, {REGION_X} FROM summary", needs=["summary"], doubles=[f"x{i}" for i in range(7)], digits=5)
@@ -68,17 +73,17 @@ def h01_customers(spark, folder):
 
 @query("h02_core_distance", "SELECT * FROM cores", needs=["cores"], doubles=["core"])
 def h02(spark, folder):
-    return hotspots.core_distances(customer_matrix(spark, folder))
+    return hotspots.measure(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK).members.select("zipcode", "core")
 
 
 @query("h03_mutual_reachability", "SELECT a AS zipcode, min(w) AS w FROM reach GROUP BY a", needs=["reach"], doubles=["w"])
 def h03(spark, folder):
-    return hotspots.lightest_links(hotspots.spanning_tree(customer_matrix(spark, folder)))
+    return hotspots.lightest_links(hotspots.spanning_tree(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK, FINISH))
 
 
 @query("h04_spanning_tree")
 def h04(spark, folder):
-    return hotspots.spanning_tree(customer_matrix(spark, folder))
+    return hotspots.spanning_tree(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK, FINISH)
 
 
 BLOCKS["near"] = (("reach",), f"SELECT a, b FROM reach WHERE w <= {EPS}")
@@ -88,16 +93,31 @@ BLOCKS["linked"] = (("near",), """
 
 
 @query("h05_density_components", """
-    SELECT zipcode, coalesce(k, -1) AS cluster_id FROM places LEFT JOIN linked USING (zipcode)
-    LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM linked GROUP BY label HAVING count(*) >= 3) AS c USING (label)""", needs=["places", "linked"])
+    SELECT zipcode, coalesce(CAST(c.label AS BIGINT), -1) AS cluster_id FROM places LEFT JOIN linked USING (zipcode)
+    LEFT JOIN (SELECT label FROM linked GROUP BY label HAVING count(*) >= 3) AS c USING (label)""", needs=["places", "linked"])
 def h05(spark, folder):
     regions = customer_regions(spark, folder)
-    return hotspots.components(hotspots.spanning_tree(hotspots.feature_matrix(regions)), regions, EPS)
+    tree = hotspots.spanning_tree(hotspots.feature_matrix(regions), P.MIN_SAMPLES, BLOCK, FINISH)
+    return hotspots.components(tree, regions, EPS, finish=FINISH)
 
 
-@query("h06_hierarchical_labels")
+BLOCKS["region_vectors"] = (("summary",), f"SELECT zipcode, [{', '.join(x.rpartition(' AS ')[0] for x in REGION_PARTS)}] AS x FROM summary")
+BLOCKS["region_gaps"] = (("region_vectors",), "SELECT p.zipcode AS a, q.zipcode AS b, list_distance(p.x, q.x) AS d FROM region_vectors AS p JOIN region_vectors AS q ON p.zipcode <> q.zipcode")
+BLOCKS["region_cores"] = (("region_gaps",), f"SELECT a AS zipcode, list_sort(list(d))[{P.MIN_SAMPLES}] AS core FROM region_gaps GROUP BY a")
+BLOCKS["region_near"] = (("region_gaps", "region_cores"), f"""SELECT a, b FROM region_gaps JOIN region_cores AS p ON p.zipcode = a JOIN region_cores AS q ON q.zipcode = b
+    WHERE greatest(d, p.core, q.core) <= {WIDE}""")
+BLOCKS["region_linked"] = (("region_near",), """
+    WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM region_near UNION SELECT walk.a, region_near.b FROM walk JOIN region_near ON region_near.a = walk.b)
+    SELECT a AS zipcode, least(a, min(b)) AS label FROM walk GROUP BY a""")
+BLOCKS["region_clusters"] = (("region_cores", "region_linked"), f"""
+    SELECT zipcode, coalesce(CAST(c.label AS BIGINT), -1) AS cluster_id, CASE WHEN c.label IS NULL THEN 0.0 WHEN core > 0 THEN least_core / core ELSE 1.0 END::DOUBLE AS cluster_probability
+    FROM region_cores LEFT JOIN region_linked USING (zipcode) LEFT JOIN (
+        SELECT label, min(core) AS least_core FROM region_linked JOIN region_cores USING (zipcode) GROUP BY label HAVING count(*) >= {P.MIN_CLUSTER_SIZE}) AS c USING (label)""")
+
+
+@query("h06_density_labels", "SELECT * FROM region_clusters", needs=["region_clusters"], doubles=["cluster_probability"], digits=5)
 def h06(spark, folder):
-    found = hotspots.detect(region.snapshot(featured(spark, folder), 30))
+    found = hotspots.detect(region.snapshot(featured(spark, folder), 30), epsilon=WIDE)
     return found.select("zipcode", "cluster_id", "cluster_probability")
 
 

@@ -13,7 +13,7 @@ from ..sources import derived, payloads, sinks, tables
 from ..streaming import alerts, daily_panel
 from . import base
 from .base import cleaned, featured, query
-from .hotspot_queries import placed
+from .hotspot_queries import WIDE, placed
 
 
 # --- landed payloads: built from the panel, then parsed ---------------------------
@@ -154,9 +154,12 @@ def s14_global(spark, folder):
 # --- whole jobs ----------------------------------------------------------------------
 
 
-@query("h09_hotspot_job")
+@query("h09_hotspot_job", """
+    SELECT zipcode, cluster_id, CASE WHEN cluster_id = -1 OR disease_risk_score < 0.33 THEN 'Low' WHEN disease_risk_score < 0.66 THEN 'Medium' ELSE 'High' END AS risk_level,
+           CASE WHEN cluster_id = -1 OR disease_risk_score < 0.33 THEN '#2ecc71' WHEN disease_risk_score < 0.66 THEN '#f39c12' ELSE '#e74c3c' END AS risk_color
+    FROM summary JOIN region_clusters USING (zipcode)""", needs=["summary", "region_clusters"])
 def h09(spark, folder):
-    found = full_run.hotspot_job(featured(spark, folder))
+    found = full_run.hotspot_job(featured(spark, folder), epsilon=WIDE)
     return found.regions.select("zipcode", "cluster_id", "risk_level", "risk_color")
 
 
@@ -184,9 +187,9 @@ def x02(spark, folder):
     return daily_panel.deduplicated(spark, folder)
 
 
-@query("x03_stateful_alerts", f"""SELECT zipcode, date, value, {base.zscore_sql('value')} AS zscore FROM (
-    SELECT CAST(ts AS DATE) AS date, CAST(10000 + user_id % 15 AS VARCHAR) AS zipcode, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2) AS d""", doubles=["value", "zscore"])
+@query("x03_stateful_alerts", f"""SELECT *, {base.flag_sql('zscore')} AS alert FROM (SELECT zipcode, date, value, {base.zscore_sql('value')} AS zscore FROM (
+    SELECT CAST(ts AS DATE) AS date, CAST(10000 + user_id % 15 AS VARCHAR) AS zipcode, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2) AS d) AS z""", doubles=["value", "zscore"])
 def x03(spark, folder):
     events = derived.read(spark, folder, "events")
     daily = events.groupBy(F.to_date("ts").alias("date"), derived.region_key("user_id").alias("zipcode")).agg(F.count("*").alias("value"))
-    return alerts.run_alerts(spark, daily).drop("alert")
+    return alerts.run_alerts(spark, daily)

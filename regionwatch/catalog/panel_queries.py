@@ -309,7 +309,7 @@ def q04(spark, folder):
 
 def outlier_sql(c: str) -> str:
     w = "OVER (PARTITION BY zipcode)"
-    return (f"coalesce(CASE WHEN max({c}) {w} > min({c}) {w} THEN abs(round(({c} - avg({c}) {w}) / stddev_pop({c}) {w}, 4)) > 2.5 END, false) AS {c}_outlier")
+    return (f"coalesce(CASE WHEN max({c}) {w} > min({c}) {w} THEN abs(({c} - avg({c}) {w}) / stddev_pop({c}) {w}) > 2.5 END, false) AS {c}_outlier")
 
 
 OUTLIERS = ", ".join(outlier_sql(c) for c in P.ANOMALY_COLUMNS)

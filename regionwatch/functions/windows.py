@@ -109,7 +109,7 @@ def strict_zscore(column: str, window: int = P.ANOMALY_WINDOW) -> Column:
 
 
 def flag(z: Column, threshold: float = P.ANOMALY_THRESHOLD) -> Column:
-    return (F.abs(F.round(z, 4)) > threshold).cast("int")
+    return (F.abs(z) > threshold).cast("int")
 
 
 def zscores(columns: Iterable[str] = P.ANOMALY_COLUMNS, window: int = P.ANOMALY_WINDOW) -> dict[str, Column]:

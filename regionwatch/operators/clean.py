@@ -74,7 +74,7 @@ def flag_outliers(df: DataFrame, columns: Sequence[str] = P.ANOMALY_COLUMNS, thr
     """Boolean ``{c}_outlier``: absolute z-score above the threshold."""
     return df.withColumns(
         {
-            f"{c}_outlier": F.coalesce(F.abs(F.round(region_zscore(c), 4)) > threshold, F.lit(False))
+            f"{c}_outlier": F.coalesce(F.abs(region_zscore(c)) > threshold, F.lit(False))
             for c in present(df, columns)
         }
     )

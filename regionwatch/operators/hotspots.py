@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params as P
 from ..functions.guards import present, with_statistics
@@ -15,10 +13,6 @@ from ..functions.scores import risk_color, risk_level
 from ..session import cut_lineage
 from . import density
 
-LABEL_SCHEMA = "id string, cluster_id int, cluster_probability double"
-# Five-digit region keys: the hierarchy step sees at most this many regions.
-MAX_REGIONS = 100_000
-
 
 def feature_matrix(regions: DataFrame, geo_weight: float = P.GEO_WEIGHT, columns: Sequence[str] = P.CLUSTER_COLUMNS) -> DataFrame:
     """(zipcode, x): weighted normalised coordinates, then normalised signals.
@@ -73,10 +67,18 @@ def with_copies(tree: DataFrame, members: DataFrame) -> DataFrame:
     return tree.unionByName(extra)
 
 
-def spanning_tree(matrix: DataFrame, min_samples: int = P.MIN_SAMPLES, block_size: int = density.BLOCK_SIZE) -> DataFrame:
+def tree_of(found: Density, finish: int = density.FINISH_EDGES) -> DataFrame:
+    return with_copies(density.spanning_tree(found.points, found.boxes, finish), found.members)
+
+
+def spanning_tree(
+    matrix: DataFrame,
+    min_samples: int = P.MIN_SAMPLES,
+    block_size: int = density.BLOCK_SIZE,
+    finish: int = density.FINISH_EDGES,
+) -> DataFrame:
     """n - 1 mutual reachability edges (a, b, w) over the regions."""
-    found = measure(matrix, min_samples, block_size)
-    return with_copies(density.spanning_tree(found.points, found.boxes), found.members)
+    return tree_of(measure(matrix, min_samples, block_size), finish)
 
 
 def lightest_links(tree: DataFrame) -> DataFrame:
@@ -86,148 +88,45 @@ def lightest_links(tree: DataFrame) -> DataFrame:
 
 
 def components(
-    tree: DataFrame, regions: DataFrame, epsilon: float = P.CLUSTER_EPSILON, min_size: int = P.MIN_CLUSTER_SIZE
+    tree: DataFrame,
+    regions: DataFrame,
+    epsilon: float = P.CLUSTER_EPSILON,
+    min_size: int = P.MIN_CLUSTER_SIZE,
+    finish: int = density.FINISH_EDGES,
 ) -> DataFrame:
     """Density components at one distance: regions linked by tree edges up to epsilon.
 
-    Components smaller than ``min_size`` are noise (-1); the others are numbered by
-    their smallest key. The numbering sees one row per component.
+    Components smaller than ``min_size`` are noise (-1); the others are named by their smallest key: its number, or
+    its hash where keys are no numbers.
     """
-    _, labels = density.contract(tree.filter(F.col("w") <= epsilon))
+    _, labels = density.contract(tree.filter(F.col("w") <= epsilon), finish)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_size)
-    numbered = sizes.select("label", (F.row_number().over(W.orderBy("first")) - 1).alias("_id"))
-    placed = labels.join(numbered, "label").select(F.col("id").alias("zipcode"), "_id")
+    named = sizes.select("label", F.coalesce(F.col("first").try_cast("bigint"), F.xxhash64("first")).alias("_id"))
+    placed = labels.join(named, "label").select(F.col("id").alias("zipcode"), "_id")
     return regions.select("zipcode").join(placed, "zipcode", "left").select(
-        "zipcode", F.coalesce("_id", F.lit(-1)).cast("int").alias("cluster_id")
+        "zipcode", F.coalesce("_id", F.lit(-1)).cast("bigint").alias("cluster_id")
     )
 
 
-# --- hierarchy ----------------------------------------------------------------------
-
-
-def _merge_order(a, b, w, n):
-    """Single linkage: children, height and size of each merge, in order of weight."""
-    top, size = list(range(2 * n - 1)), [1] * n
-    merges = []
-
-    def find(i):
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for k in np.argsort(w, kind="stable"):
-        p, q = find(a[k]), find(b[k])
-        node = n + len(merges)
-        top[p] = top[q] = node
-        size.append(size[p] + size[q])
-        merges.append((p, q, w[k]))
-    return merges, size
-
-
-def _condense(merges, size, n, min_size):
-    """Clusters (parent, birth) and, per point, the cluster it leaves and when (1/distance)."""
-    clusters, stability, death = [(-1, 0.0)], [0.0], [0.0]
-    home, left_at = np.zeros(n, dtype=int), np.zeros(n)
-    todo = [(2 * n - 2, 0)]
-
-    def leave(node, cluster, at):
-        below = [node]
-        while below:
-            v = below.pop()
-            if v >= n:
-                below += merges[v - n][:2]
-            else:
-                home[v], left_at[v] = cluster, at
-
-    while todo:
-        node, cluster = todo.pop()
-        p, q, height = merges[node - n]
-        at = 1.0 / max(height, 1e-12)
-        big = [v for v in (p, q) if size[v] >= min_size]
-        death[cluster] = max(death[cluster], at)
-        gone = size[node] if len(big) != 1 else size[node] - size[big[0]]
-        stability[cluster] += (at - clusters[cluster][1]) * gone
-        for v in (p, q):
-            if v not in big:
-                leave(v, cluster, at)
-        for v in big:
-            into = cluster
-            if len(big) == 2:
-                clusters.append((cluster, at))
-                stability.append(0.0)
-                death.append(0.0)
-                into = len(clusters) - 1
-            todo.append((v, into))
-    return clusters, stability, death, home, left_at
-
-
-def _select(clusters, stability, epsilon):
-    """Excess-of-mass choice, then clusters born below epsilon rise to the ancestor born above it."""
-    children = {c: [] for c in range(len(clusters))}
-    for c, (parent, _) in enumerate(clusters):
-        if parent >= 0:
-            children[parent].append(c)
-    mass, chosen = list(stability), set()
-    for c in range(len(clusters) - 1, 0, -1):      # children have larger numbers
-        inner = sum(mass[k] for k in children[c])
-        if children[c] and inner > stability[c]:
-            mass[c] = inner
-        else:
-            below = list(children[c])
-            while below:
-                k = below.pop()
-                chosen.discard(k)
-                below += children[k]
-            chosen.add(c)
-
-    def risen(c):
-        parent = clusters[c][0]
-        while 1.0 / clusters[c][1] < epsilon and parent > 0:
-            c, parent = parent, clusters[parent][0]
-        return c
-
-    raised = {risen(c) for c in chosen}
-
-    def covered(c):
-        parent = clusters[c][0]
-        return parent >= 0 and (parent in raised or covered(parent))
-
-    return {c for c in raised if not covered(c)}
-
-
-def _labels(pdf: pd.DataFrame, min_size: int, epsilon: float) -> pd.DataFrame:
-    ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-    n = len(ids)
-    a, b = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
-    merges, size = _merge_order(a, b, pdf["w"].to_numpy(), n)
-    clusters, stability, death, home, left_at = _condense(merges, size, n, min_size)
-    selected = _select(clusters, stability, epsilon)
-    owner = np.full(len(clusters), -1)
-    for c in range(1, len(clusters)):
-        owner[c] = c if c in selected else owner[clusters[c][0]]
-    mine = owner[home]
-    order = {c: i for i, c in enumerate(dict.fromkeys(c for c in mine if c >= 0))}
-    peak = np.array(death)
-    probability = np.where(mine >= 0, np.minimum(left_at, peak[mine]) / np.maximum(peak[mine], 1e-300), 0.0)
-    return pd.DataFrame(
-        {"id": ids, "cluster_id": [order.get(c, -1) for c in mine], "cluster_probability": probability}
-    )
-
-
-def hierarchical_labels(
-    tree: DataFrame, n_regions: int, min_size: int = P.MIN_CLUSTER_SIZE, epsilon: float = P.CLUSTER_EPSILON
+def memberships(
+    matrix: DataFrame,
+    min_size: int = P.MIN_CLUSTER_SIZE,
+    min_samples: int = P.MIN_SAMPLES,
+    epsilon: float = P.CLUSTER_EPSILON,
 ) -> DataFrame:
-    """Cluster and membership probability of every region from the tree's n - 1 edges.
+    """(zipcode, cluster_id, cluster_probability) of every region with a vector.
 
-    The heavy work (distances, tree) is done before; this last step needs the edges
-    in order and refuses more of them than there can be region keys. ``components``
-    has no such limit.
+    The probability is the smallest core distance of the region's cluster over its own: 1 in the densest place, 0 for
+    noise.
     """
-    if n_regions > MAX_REGIONS:
-        raise ValueError(f"{n_regions} regions; use components() beyond {MAX_REGIONS}")
-    solve = lambda pdf: _labels(pdf, min_size, epsilon)
-    return tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: solve(pdf.drop(columns="_all")), LABEL_SCHEMA)
+    found = measure(matrix, min_samples)
+    labels = components(tree_of(found), found.members, epsilon, min_size).join(found.members.select("zipcode", "core"), "zipcode")
+    labels = cut_lineage(labels)
+    densest = labels.filter("cluster_id <> -1").groupBy("cluster_id").agg(F.min("core").alias("_least"))
+    share = F.when(F.col("core") > 0, F.col("_least") / F.col("core")).otherwise(1.0)
+    return labels.join(densest, "cluster_id", "left").select(
+        "zipcode", "cluster_id", F.when(F.col("cluster_id") == -1, 0.0).otherwise(share).alias("cluster_probability")
+    )
 
 
 # --- labels and risk ----------------------------------------------------------------
@@ -247,18 +146,18 @@ def detect(
     min_size: int = P.MIN_CLUSTER_SIZE,
     min_samples: int = P.MIN_SAMPLES,
     epsilon: float = P.CLUSTER_EPSILON,
+    geo_weight: float = P.GEO_WEIGHT,
 ) -> DataFrame:
     """Snapshot rows with cluster_id, cluster_probability, risk_level and risk_color."""
     regions = cut_lineage(regions)
-    matrix = feature_matrix(regions)
+    matrix = feature_matrix(regions, geo_weight)
     n = matrix.count()
     if n < max(min_size, min_samples + 1):
-        flat = regions.withColumns({"cluster_id": F.lit(-1), "cluster_probability": F.lit(0.0)})
+        flat = regions.withColumns({"cluster_id": F.lit(-1).cast("bigint"), "cluster_probability": F.lit(0.0)})
         return with_risk(flat)
-    found = hierarchical_labels(spanning_tree(matrix, min_samples), n, min_size, epsilon)
-    labelled = regions.join(found.withColumnRenamed("id", "zipcode"), "zipcode", "left").withColumns(
+    labelled = regions.join(memberships(matrix, min_size, min_samples, epsilon), "zipcode", "left").withColumns(
         {
-            "cluster_id": F.coalesce("cluster_id", F.lit(-1)),
+            "cluster_id": F.coalesce("cluster_id", F.lit(-1).cast("bigint")),
             "cluster_probability": F.coalesce("cluster_probability", F.lit(0.0)),
         }
     )
@@ -294,7 +193,7 @@ def map_features(labelled: DataFrame) -> DataFrame:
         text("zipcode").alias("zipcode"),
         text("city").alias("city"),
         text("state").alias("state"),
-        F.coalesce(F.col("cluster_id").cast("int"), F.lit(-1)).alias("cluster_id") if "cluster_id" in have else F.lit(-1).alias("cluster_id"),
+        F.coalesce(F.col("cluster_id").cast("bigint"), F.lit(-1)).alias("cluster_id") if "cluster_id" in have else F.lit(-1).alias("cluster_id"),
         text("risk_level", "Unknown").alias("risk_level"),
         text("risk_color", P.UNKNOWN_COLOR).alias("risk_color"),
         number("disease_risk_score", 4).alias("disease_risk_score"),

@@ -22,9 +22,9 @@ class HotspotResult:
     summary: DataFrame
 
 
-def hotspot_job(features: DataFrame, window_days: int = 30) -> HotspotResult:
-    """Snapshot, cluster, map features and summaries."""
-    labelled = reuse(hotspots.detect(region.snapshot(features, window_days)))
+def hotspot_job(features: DataFrame, window_days: int = 30, **parameters) -> HotspotResult:
+    """Snapshot, cluster, map features and summaries; parameters as of ``hotspots.detect``."""
+    labelled = reuse(hotspots.detect(region.snapshot(features, window_days), **parameters))
     return HotspotResult(
         labelled, hotspots.map_features(labelled), hotspots.metadata(labelled), hotspots.cluster_summary(labelled)
     )

@@ -14,7 +14,6 @@ from ..functions.scores import aqi_category
 from .tables import scan
 from ..operators.merge import attach_regions, outer_merge, region_table
 
-FIRST_DAY, END_DAY = "1995-02-01", "2001-08-01"
 REGION_COUNT = 15
 
 
@@ -44,14 +43,9 @@ def region_key(key: str) -> Column:
     return (F.lit(10000) + F.col(key) % REGION_COUNT).cast("string")
 
 
-def between_days(df: DataFrame, column: str) -> DataFrame:
-    low, high = (F.lit(d).cast("timestamp_ntz") for d in (FIRST_DAY, END_DAY))
-    return df.filter((F.col(column) >= low) & (F.col(column) < high))
-
-
 def daily(df: DataFrame, day: str, key: str, *aggregates: Column) -> DataFrame:
     """Aggregate by day and region number; the text key is made once per group, not per row."""
-    grouped = between_days(df, day).groupBy(F.to_date(day).alias("date"), (F.col(key) % REGION_COUNT).alias("_region"))
+    grouped = df.groupBy(F.to_date(day).alias("date"), (F.col(key) % REGION_COUNT).alias("_region"))
     out = grouped.agg(*aggregates)
     values = [c for c in out.columns if c not in ("date", "_region")]
     return out.select("date", (F.lit(10000) + F.col("_region")).cast("string").alias("zipcode"), *values)

@@ -1,87 +1,69 @@
-"""Incremental daily panel from an event stream, and streaming de-duplication."""
+"""Incremental daily panel from an event stream, and streaming de-duplication.
+
+Both keep what each micro-batch adds in a form that can be merged in any order: partial sums by key, or the distinct
+keys. A batch writes to a folder of its number, so a repeated batch overwrites itself; readers merge. No row is ever
+too late.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_folder
-
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+from ..sources.derived import TABLES, region_key
 
 
 def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", files_per_batch: int = 1_000) -> DataFrame:
-    """Events as a stream with event time ``at``. The session time zone must be UTC,
-    so that one-day windows are calendar days."""
+    """Events as a stream, with their day and region."""
     return (
-        spark.readStream.schema(EVENT_SCHEMA)
+        spark.readStream.schema(TABLES["events"])
         .option("pathGlobFilter", files)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
-        .withColumn("at", F.col("ts").cast("timestamp"))
-        .withColumn("zipcode", (F.lit(10000) + F.col("user_id") % 15).cast("string"))
+        .withColumns({"date": F.to_date("ts"), "zipcode": region_key("user_id")})
     )
 
 
-def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Per region and day: event count, value sum and error share; state ends with the watermark."""
-    return (
-        events.withWatermark("at", delay)
-        .groupBy(F.window("at", "1 day"), "zipcode")
-        .agg(
-            F.count("*").alias("n_events"),
-            F.sum(F.col("value").cast("decimal(18,2)")).alias("total"),
-            F.count_if(F.col("event_type") == "error").alias("n_errors"),
-        )
-        .select(F.to_date("window.start").alias("date"), "zipcode", "n_events", "total", "n_errors")
+def daily_partials(events: DataFrame) -> DataFrame:
+    """Per region and day: event count, value sum and error count of these events."""
+    return events.groupBy("date", "zipcode").agg(
+        F.count("*").alias("n_events"),
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("total"),
+        F.count_if(F.col("event_type") == "error").alias("n_errors"),
     )
 
 
-def run_updates(stream: DataFrame, spark: SparkSession, name: str, keys: tuple[str, ...]) -> DataFrame:
-    """Process all available input; the table holds each key's latest update.
+def merged_partials(partials: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("n_events", "total", "n_errors")]
+    return partials.groupBy("date", "zipcode").agg(*sums)
+
+
+def first_of_day(events: DataFrame) -> DataFrame:
+    """One row per (day, region, event type)."""
+    return events.select("date", "zipcode", "event_type").distinct()
 
-    Every micro-batch appends its updated rows with the batch number in a folder of
-    that number, so a repeated batch overwrites itself; readers keep the latest.
-    """
-    out = work_folder(spark, name)
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/updates/number={number}")
+def run_batches(stream: DataFrame, out: str, reduced: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Processes all available input; returns the reduced rows of all batches so far."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        reduced(batch).write.mode("overwrite").parquet(f"{out}/parts/number={number}")
 
     query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(append)
-        .start()
+        stream.writeStream.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     )
     query.awaitTermination()
-    updates = spark.read.parquet(f"{out}/updates").drop("number")
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return latest.select(*keys, *[F.col("v")[c].alias(c) for c in values])
+    return stream.sparkSession.read.parquet(f"{out}/parts").drop("number")
 
 
-def incremental_panel(spark: SparkSession, folder: str, files: str = "events.parquet", delay: str = "2 days") -> DataFrame:
+def incremental_panel(spark: SparkSession, folder: str, files: str = "events.parquet", files_per_batch: int = 1_000) -> DataFrame:
     """Daily panel built by the stream over all files present."""
-    daily = daily_counts(event_stream(spark, folder, files), delay)
-    return run_updates(daily, spark, "daily-panel", ("date", "zipcode"))
-
-
-def first_of_day(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """One row per (day, region, event type): copies within the watermark are dropped."""
-    keyed = events.withColumn("date", F.to_date("ts")).withWatermark("at", delay)
-    return keyed.dropDuplicatesWithinWatermark(["date", "zipcode", "event_type"]).select("date", "zipcode", "event_type", "at")
+    stream = event_stream(spark, folder, files, files_per_batch)
+    return merged_partials(run_batches(stream, work_folder(spark, "daily-panel"), daily_partials))
 
 
-def deduplicated(spark: SparkSession, folder: str, files: str = "events.parquet", delay: str = "2 days") -> DataFrame:
-    out = work_folder(spark, "first-of-day")
-    query = (
-        first_of_day(event_stream(spark, folder, files), delay)
-        .writeStream.format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("date", "zipcode", "event_type")
+def deduplicated(spark: SparkSession, folder: str, files: str = "events.parquet", files_per_batch: int = 1_000) -> DataFrame:
+    stream = event_stream(spark, folder, files, files_per_batch)
+    return run_batches(stream, work_folder(spark, "first-of-day"), first_of_day).distinct()

@@ -70,27 +70,24 @@ def test_rounds_and_bounded_finish_agree(spark, cloud):
 def test_components_of_planted_blobs(spark, cloud):
     matrix = matrix_of(spark, cloud)
     out = hotspots.components(hotspots.spanning_tree(matrix), matrix, 1.0).orderBy("zipcode").toPandas()["cluster_id"]
-    assert list(out[:45]) == [0] * 45 and list(out[45:90]) == [1] * 45 and list(out[90:135]) == [2] * 45
-    assert list(out[135:140]) == [3] * 5 and out[140] == -1
+    assert list(out[:45]) == [0] * 45 and list(out[45:90]) == [45] * 45 and list(out[90:135]) == [90] * 45
+    assert list(out[135:140]) == [135] * 5 and out[140] == -1
 
 
-def test_hierarchy_recovers_planted_blobs(spark, cloud):
-    tree = hotspots.spanning_tree(matrix_of(spark, cloud[:135]))
-    out = hotspots.hierarchical_labels(tree, 135, min_size=10, epsilon=0.0).orderBy("id").toPandas()
+def test_memberships_follow_density(spark, cloud):
+    out = hotspots.memberships(matrix_of(spark, cloud), min_size=10, epsilon=1.0).orderBy("zipcode").toPandas()
+    core, _ = brute(cloud)
     for blob in range(3):
-        labels = out["cluster_id"][blob * 45:(blob + 1) * 45]
-        assert labels[labels >= 0].nunique() == 1 and (labels >= 0).mean() > 0.6
-    assert out["cluster_id"].max() == 2
-    assert out["cluster_probability"].between(0, 1).all()
-    assert (out.loc[out["cluster_id"] == -1, "cluster_probability"] == 0).all()
-
-
-def test_hierarchy_merges_below_epsilon(spark, cloud):
-    tree = hotspots.spanning_tree(matrix_of(spark, cloud[:135]))
-    small = hotspots.hierarchical_labels(tree, 135, min_size=3, epsilon=0.0).toPandas()
-    merged = hotspots.hierarchical_labels(tree, 135, min_size=3, epsilon=2.0).toPandas()
-    assert merged["cluster_id"].max() + 1 <= small["cluster_id"].max() + 1
-    assert set(merged["cluster_id"]) - {-1} == {0, 1, 2}
+        rows = slice(blob * 45, (blob + 1) * 45)
+        assert set(out["cluster_id"][rows]) == {blob * 45}
+        assert list(out["cluster_probability"][rows]) == pytest.approx(list(core[rows].min() / core[rows]))
+    assert set(out["cluster_id"][135:]) == {-1} and (out["cluster_probability"][135:] == 0).all()
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    chain = matrix_of(spark, [[i * 0.5] for i in range(6_000)])
+    out = hotspots.memberships(chain, epsilon=1.0)
+    assert out.select("cluster_id").distinct().collect()[0][0] == 0 and out.count() == 6_000
 
 
 def regions_of(spark, n):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from regionwatch import params as P
 from regionwatch.functions.quantiles import exact_quantiles
 from regionwatch.operators import clean, lookup, merge, quality
-from regionwatch.sources import payloads, sinks, tables
+from regionwatch.sources import derived, payloads, sinks, tables
 from regionwatch.session import work_folder
 
 D = dt.date
@@ -156,3 +156,9 @@ def test_models_are_stored_by_region(spark):
     assert sinks.load_models(spark, path, "02101").first()["sigma"] == 1.0
     with pytest.raises(FileNotFoundError):
         sinks.load_models(spark, path, "99999")
+
+
+def test_panel_counts_every_line_item(spark):
+    folder = "/root/testdata/sf0.001"
+    panel = derived.long_panel(spark, folder)
+    assert panel.agg(F.sum("post_volume")).first()[0] == spark.read.parquet(f"{folder}/lineitem.parquet").count()
