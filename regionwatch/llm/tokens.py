@@ -35,9 +35,28 @@ REMEMBERED = 800_000
 MERGED_AT_A_TIME = 1 << 20
 NEVER = np.int64(1) << 40
 
-#: The file format's fixed pattern for pre-tokens; its white space is Unicode's White_Space.
+#: Unicode's White_Space.
 SPACE = "\t-\r \\x85\\xa0  -     　"
-PRE_TOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+
+def unknown_letters(path: str) -> str:
+    """Letters and numbers of the regex library's Unicode that the file's own pre-tokenizer does not know, as ranges
+    for a pattern. Only what Python's older tables lack can be among them."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    found = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    unknown = {ord(c) for c in found if unicodedata.category(c) == "Cn" and len(split("!" + c)) == 1}
+    starts, ends = (sorted(c for c in unknown if c + step not in unknown) for step in (-1, 1))
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+def pre_token_pattern(path: str) -> regex.Pattern:
+    """The file format's fixed pattern for pre-tokens, with the letters and numbers that it knows."""
+    less = f"--[{unknown}]" if (unknown := unknown_letters(path)) else ""
+    return regex.compile(
+        rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}{less}]+|[\p{{N}}{less}]|[^{SPACE}[\p{{L}}{less}][\p{{N}}{less}]]+"
+    )
 
 
 STOP_AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[.,][ \n])")
@@ -68,6 +87,7 @@ class Vocabulary:
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
         symbols = byte_symbols()
+        self.pattern = pre_token_pattern(path)
         self.inner = np.array([ids[s] for s in symbols], np.int64)
         self.last = np.array([ids[s + end] for s in symbols], np.int64)
         self.size = max(ids.values()) + 1
@@ -121,8 +141,9 @@ def merged(vocab: Vocabulary, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.n
     return symbols[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pre_tokens))
 
 
-#: Lower case of letters that came with Unicode 16, for an older table in Python.
-LATER_LOWER = {0xA7CB: 0x264, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{0x10D50 + i: 0x10D70 + i for i in range(22)}}
+#: Lower case of letters that came with Unicode 16 and 17, for an older table in Python.
+LATER_LOWER = {0xA7CB: 0x264, 0xA7DC: 0x19B, **{c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}}
+LATER_LOWER |= {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
 
 
 def normal(piece: str) -> str:
@@ -133,10 +154,10 @@ def normal(piece: str) -> str:
     return piece.lower() if "Σ" not in piece else "".join(map(str.lower, piece))
 
 
-def pre_tokens_of(piece: str) -> list[str]:
+def pre_tokens_of(vocab: Vocabulary, piece: str) -> list[str]:
     """A piece of letters alone is one pre-token; any other is split by the pattern."""
     piece = normal(piece)
-    return [piece] if piece.isalpha() else PRE_TOKENS.findall(piece)
+    return [piece] if piece.isalpha() else vocab.pattern.findall(piece)
 
 
 def encoded_pieces(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +182,7 @@ def encoded_pieces(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray,
         if raw.isalpha() and raw.islower():
             tokens = (raw,)
         else:
-            tokens = [t.encode("utf-8", "surrogatepass") for t in pre_tokens_of(raw.decode("utf-8", "surrogatepass"))]
+            tokens = [t.encode("utf-8", "surrogatepass") for t in pre_tokens_of(vocab, raw.decode("utf-8", "surrogatepass"))]
         for t in tokens:
             if size + len(t) > MERGED_AT_A_TIME:
                 flush()
