@@ -36,6 +36,9 @@ LABELLED = (
     (0, 1, 0, 3, 0.0, 1, 1.0, 1, 1.0, 1), (0, 1, 0, 6, 0.7, 7, 0.0, 2, 0.0, 1), (0, 1, 0, 12, 1.0, 14, 0.0, 4, 0.0, 1),
     (0, 1, 0, 2, 0.5, 2, 1.0, 0, 0.0, 1), (0, 1, 1, 1, 0.0, 1, 1.0, 3, 0.0, 1), (0, 1, 0, 20, 0.9, 2, 0.0, 2, 0.0, 1),
     (0, 1, 0, 1, 0.0, 0, 0.0, 0, 0.0, 1), (0, 1, 0, 3, 0.4, 12, 1.0, 18, 0.9, 1), (0, 1, 0, 14, 0.35, 1, 0.0, 12, 0.5, 1),
+    (0, 1, 0, 8, 1.0, 10, 0.0, 12, 1.0, 1), (0, 1, 0, 15, 0.8, 20, 0.0, 6, 1.0, 1), (0, 1, 0, 5, 0.7, 5, 1.0, 5, 1.0, 1),
+    (0, 1, 0, 1, 0.0, 2, 1.0, 1, 1.0, 1), (0, 1, 0, 2, 0.0, 1, 0.0, 1, 1.0, 1), (0, 1, 1, 1, 0.0, 5, 1.0, 4, 1.0, 1),
+    (0, 1, 0, 1, 1.0, 0, 0.0, 1, 1.0, 1), (0, 1, 0, 30, 1.0, 8, 1.0, 0, 0.0, 1), (0, 1, 0, 3, 1.0, 1, 1.0, 3, 1.0, 1),
     # furniture, inside an article too: menus, notices, adverts, forms, comments
     (1, 0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (1, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 0, 0, 9, 0.0, 1, 1.0, 8, 0.0, 0),
     (1, 0, 0, 12, 0.1, 30, 0.0, 0, 0.0, 0), (1, 0, 0, 40, 0.0, 20, 0.0, 35, 0.0, 0), (1, 0, 1, 2, 0.0, 60, 0.0, 40, 0.0, 0),
@@ -46,9 +49,13 @@ LABELLED = (
     (0, 0, 0, 18, 0.0, 22, 0.05, 2, 1.0, 1), (0, 0, 1, 6, 0.0, 2, 1.0, 55, 0.0, 1), (0, 0, 1, 4, 0.0, 40, 0.0, 50, 0.0, 1),
     (0, 0, 0, 5, 0.0, 40, 0.0, 35, 0.0, 1), (0, 0, 0, 3, 0.0, 60, 0.0, 45, 0.0, 1), (0, 0, 0, 90, 0.2, 3, 1.0, 3, 1.0, 1),
     (0, 0, 0, 14, 0.0, 1, 0.0, 1, 0.0, 1), (0, 0, 0, 16, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0, 1, 3, 0.0, 1, 1.0, 17, 0.0, 1), (0, 0, 1, 2, 0.0, 0, 0.0, 60, 0.0, 1), (0, 0, 1, 5, 0.0, 12, 0.0, 20, 0.0, 1),
+    (0, 0, 0, 2, 0.0, 17, 0.0, 17, 0.0, 1), (0, 0, 0, 2, 0.0, 20, 0.0, 25, 0.0, 1), (0, 0, 0, 3, 0.0, 13, 0.0, 30, 0.0, 1),
     (0, 0, 0, 2, 1.0, 0, 0.0, 1, 1.0, 0), (0, 0, 0, 1, 1.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 3, 1.0, 1, 1.0, 55, 0.0, 0),
     (0, 0, 0, 12, 1.0, 40, 0.0, 12, 1.0, 0), (0, 0, 0, 30, 0.8, 12, 1.0, 20, 0.9, 0), (0, 0, 0, 20, 0.6, 50, 0.0, 0, 0.0, 0),
     (0, 0, 0, 3, 0.0, 2, 1.0, 1, 1.0, 0), (0, 0, 0, 5, 0.4, 18, 0.0, 0, 0.0, 0), (0, 0, 1, 3, 0.0, 3, 1.0, 2, 1.0, 0),
+    (0, 0, 0, 2, 0.0, 1, 1.0, 2, 1.0, 0), (0, 0, 0, 1, 0.0, 0, 0.0, 1, 1.0, 0), (0, 0, 0, 2, 0.0, 1, 0.0, 3, 1.0, 0),
+    (0, 0, 0, 3, 0.0, 4, 1.0, 6, 1.0, 0), (0, 0, 1, 1, 0.0, 5, 1.0, 4, 1.0, 0), (0, 0, 0, 1, 0.0, 6, 0.0, 2, 1.0, 0),
 )
 
 #: Elements by what they do to the text.

@@ -30,7 +30,7 @@ NOTICES = (
     ("licensed under the mit license", "mit", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", "granted"),
     ("apache license version 2 0", "apache", "2"),
-    ("licensed under the apache license", "apache", "license"),
+    ("licensed under the apache license", "apache", "apache"),
     ("gnu general public license version", "gpl", "general"),
     ("licensed under the gnu general public license", "gpl", "gnu"),
     ("gnu lesser general public license", "lgpl", "lesser"),
