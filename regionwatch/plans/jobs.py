@@ -39,5 +39,6 @@ def preprocess(
     return Preprocessed(panel, train, validation, test, quality.report(panel))
 
 
-def feature_job(panel: DataFrame, imputed: bool = True) -> DataFrame:
-    return features.feature_panel(panel, imputed)
+def feature_job(panel: DataFrame, imputed: bool = True, **options) -> DataFrame:
+    """Feature panel; options as of ``features.FeatureOptions``."""
+    return features.feature_panel(panel, imputed, features.FeatureOptions(**options))

@@ -20,8 +20,6 @@ SOURCE_SCHEMAS = {
     "er_visits": "date date, zipcode string, er_visits bigint",
 }
 
-INLINE_KEYS = 1_000
-
 
 def scan(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     """Scan with a declared schema: no inference pass, text keys keep leading zeros."""
@@ -42,8 +40,7 @@ def empty_source(spark: SparkSession, name: str) -> DataFrame:
 def in_range(df: DataFrame, start=None, end=None, zipcodes: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Inclusive date range and key set.
 
-    A list of keys is inlined up to ``INLINE_KEYS`` and reaches the scan; a frame of
-    keys, or a longer list, becomes a semi join.
+    A list of keys is inlined and reaches the scan; a frame of keys becomes a semi join.
     """
     if start is not None:
         df = df.filter(F.col("date") >= F.lit(start).cast("date"))
@@ -53,10 +50,7 @@ def in_range(df: DataFrame, start=None, end=None, zipcodes: Sequence[str] | Data
         return df
     df = df.withColumn("zipcode", F.col("zipcode").cast("string"))
     if not isinstance(zipcodes, DataFrame):
-        keys = [str(z) for z in zipcodes]
-        if len(keys) <= INLINE_KEYS:
-            return df.filter(F.col("zipcode").isin(keys))
-        zipcodes = df.sparkSession.createDataFrame([(z,) for z in keys], "zipcode string")
+        return df.filter(F.col("zipcode").isin([str(z) for z in zipcodes]))
     wanted = zipcodes.select(F.col("zipcode").cast("string").alias("zipcode"))
     return df.join(wanted, "zipcode", "left_semi")
 
