@@ -1,19 +1,9 @@
-"""Tables with every odd case: nulls, empty and very long texts, ties, repeated rows, columns that clash."""
+"""Frames of the odd rows, with columns named as the operators name theirs."""
 
 import pytest
-
 from pyspark.sql import functions as F
 
-WORDS = [f"w{i:04d}" for i in range(5_000)]
-LONG = " ".join(WORDS) * 8
-COPY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-ROWS = [
-    (1, COPY), (2, COPY), (2, COPY), (3, COPY + "."), (4, None), (5, ""), (6, "   \n\t "), (7, LONG), (8, LONG + " end"),
-    (None, COPY), (None, None), (9, "a"), (10, "x" * 50_000), (11, "é ü 日本 🙂 Ünïcode"),
-    (12, "Released under the MIT License. mail a.b@c.de and +1 (555) 123-4567, 10.0.0.1, 4111 1111 1111 1111"),
-]
-#: Names that the operators use themselves.
-CLASHES = ("fp", "key", "n", "_row", "_base", "_text", "cell", "node", "root", "a", "b", "first", "label", "_group", "component_id", "w")
+from odd_rows import CLASHES, ROWS
 
 
 def odd_documents(spark, rows=ROWS):

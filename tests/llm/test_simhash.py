@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import COPY, LONG
+from odd_rows import COPY, LONG
 from regionwatch.llm import queries, simhash
 
 
