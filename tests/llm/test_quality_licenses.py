@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from regionwatch.llm import licenses, quality, queries
 
