@@ -181,27 +181,90 @@ def p10(spark, folder):
 # --- global lag regression ----------------------------------------------------------
 
 
-@query("f08_lag_regression")
+# SQL knows the rows of each part and that errors are ordered; the numbers of the wide fit are checked at lookback 1
+BLOCKS["tested"] = (("labelled",), "SELECT * FROM labelled WHERE split = 'test'")
+BLOCKS["sequences"] = (("trained",), f"""
+    SELECT date FROM (SELECT date, row_number() OVER ({BY_DATE}) AS rank FROM trained) AS r WHERE rank > {P.LOOKBACK}""")
+LAG_CUT = "min(date) + CAST(floor((max(date) - min(date)) * 0.8::DOUBLE) AS INTEGER)"
+TESTED_SEQUENCES = f"CAST(sum(n) AS BIGINT) FROM (SELECT greatest(count(*) - {P.LOOKBACK}, 0) AS n FROM tested GROUP BY zipcode) AS t"
+
+
+def in_order(results):
+    return (F.col("mae") <= F.col("rmse")) & (F.col("mape") >= 0)
+
+
+@query("f08_lag_regression", f"""
+    SELECT CASE WHEN date <= (SELECT {LAG_CUT} FROM sequences) THEN 'train' ELSE 'validation' END AS split, count(*) AS n_samples, true AS in_order
+    FROM sequences GROUP BY 1""", needs=["sequences"])
 def f08(spark, folder):
     train, _, _ = clean.split(cleaned(spark, folder))
-    return lag_regression.fit(train)[1]
+    history = lag_regression.fit(train)[1]
+    return history.select("split", "n_samples", in_order(history).alias("in_order"))
+
+
+BLOCKS["global_ends"] = (("trained",), f"SELECT zipcode, max(date) AS last FROM trained GROUP BY zipcode HAVING count(*) >= {P.LOOKBACK}")
 
 
-@query("f09_recursive_forecast")
+@query("f09_recursive_forecast", f"""SELECT zipcode, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, true AS valid
+    FROM global_ends, range(1, {P.FORECAST_HORIZON + 1}) AS r(k)""", needs=["global_ends"])
 def f09(spark, folder):
     train, _, _ = clean.split(cleaned(spark, folder))
     model, _ = lag_regression.fit(train)
-    return lag_regression.forecast(model, train)
+    return lag_regression.forecast(model, train).select("zipcode", "ds", F.col("yhat").between(0, 1e12).alias("valid"))
 
 
-@query("f10_sequence_metrics")
+@query("f10_sequence_metrics", f"SELECT 'lag_regression' AS model, {TESTED_SEQUENCES.replace(' FROM', ' AS n_samples, true AS in_order FROM', 1)}", needs=["tested"])
 def f10(spark, folder):
     train, _, test = clean.split(cleaned(spark, folder))
     model, _ = lag_regression.fit(train)
-    return lag_regression.evaluate_sequences(model, test)
+    results = lag_regression.evaluate_sequences(model, test)
+    return results.select("model", "n_samples", in_order(results).alias("in_order"))
 
 
-@query("f11_forecast_job")
+@query("f11_forecast_job", f"""SELECT 'seasonal' AS model, zipcode, count(*) AS n_samples, true AS in_order FROM tested GROUP BY zipcode
+    UNION ALL SELECT 'lag_regression', 'all', {TESTED_SEQUENCES.replace(' FROM', ', true FROM', 1)}""", needs=["trained", "tested"])
 def f11(spark, folder):
     train, _, test = clean.split(cleaned(spark, folder))
-    return forecasting.run(train, test).results
+    results = forecasting.run(train, test).results
+    return results.select("model", "zipcode", "n_samples", in_order(results).alias("in_order"))
+
+
+# --- the same regression on one signal and one earlier day, which is a line ------------
+
+
+def one_day(source: str) -> str:
+    return f"""SELECT * FROM (SELECT zipcode, date, lag(er_visits) OVER ({BY_DATE}) AS x, er_visits AS y FROM {source}) AS p WHERE x IS NOT NULL"""
+
+
+BLOCKS["train_pairs"] = (("trained",), one_day("trained"))
+BLOCKS["test_pairs"] = (("tested",), one_day("tested"))
+BLOCKS["pair_cut"] = (("train_pairs",), f"SELECT {LAG_CUT} AS cut FROM train_pairs")
+BLOCKS["lag_line"] = (("train_pairs", "pair_cut"), "SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM train_pairs, pair_cut WHERE date <= cut")
+LINE_ERRORS = """count(*) AS n_samples, round(avg(abs(y - yhat)), 4) AS mae, round(sqrt(avg((y - yhat) * (y - yhat))), 4) AS rmse,
+    round(avg(abs((y - yhat) / (abs(y) + 1))) * 100, 4) AS mape"""
+LINE_AHEAD = f"""SELECT zipcode, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, greatest(power(b, k) * y + a * (1 - power(b, k)) / (1 - b), 0) AS yhat
+    FROM (SELECT zipcode, max(date) AS last, arg_max(er_visits, date) AS y FROM trained GROUP BY zipcode) AS e, lag_line, range(1, {P.FORECAST_HORIZON + 1}) AS r(k)"""
+
+
+def fitted_line(train):
+    return lag_regression.fit(train, (P.TARGET,), lookback=1, ridge=0.0)
+
+
+@query("f08_lag_line", f"""SELECT split, {LINE_ERRORS} FROM (
+    SELECT CASE WHEN date <= cut THEN 'train' ELSE 'validation' END AS split, y, a + b * x AS yhat FROM train_pairs, pair_cut, lag_line) AS p GROUP BY split""",
+       needs=["lag_line"], doubles=["mae", "rmse", "mape"])
+def f08_line(spark, folder):
+    return fitted_line(clean.split(cleaned(spark, folder))[0])[1]
+
+
+@query("f09_lag_line_forecast", LINE_AHEAD, needs=["lag_line"], doubles=["yhat"], digits=5)
+def f09_line(spark, folder):
+    train = clean.split(cleaned(spark, folder))[0]
+    return lag_regression.forecast(fitted_line(train)[0], train)
+
+
+@query("f10_lag_line_metrics", f"SELECT 'lag_regression' AS model, {LINE_ERRORS} FROM (SELECT y, a + b * x AS yhat FROM test_pairs, lag_line) AS p",
+       needs=["lag_line", "test_pairs"], doubles=["mae", "rmse", "mape"])
+def f10_line(spark, folder):
+    train, _, test = clean.split(cleaned(spark, folder))
+    return lag_regression.evaluate_sequences(fitted_line(train)[0], test)

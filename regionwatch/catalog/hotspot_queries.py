@@ -81,11 +81,6 @@ def h03(spark, folder):
     return hotspots.lightest_links(hotspots.spanning_tree(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK, FINISH))
 
 
-@query("h04_spanning_tree")
-def h04(spark, folder):
-    return hotspots.spanning_tree(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK, FINISH)
-
-
 BLOCKS["near"] = (("reach",), f"SELECT a, b FROM reach WHERE w <= {EPS}")
 BLOCKS["linked"] = (("near",), """
     WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM near UNION SELECT walk.a, near.b FROM walk JOIN near ON near.a = walk.b)
@@ -101,6 +96,24 @@ def h05(spark, folder):
     return hotspots.components(tree, regions, EPS, finish=FINISH)
 
 
+# all edges up to a distance connect as much as the tree's edges up to it: regions less components
+STEPS = (0.1, 0.2, 0.3, EPS)
+BLOCKS["near_by_step"] = (("reach",), f"SELECT distance, a, b FROM reach, (VALUES {', '.join(f'({t}::DOUBLE)' for t in STEPS)}) AS s(distance) WHERE w <= distance")
+BLOCKS["linked_by_step"] = (("near_by_step",), """
+    WITH RECURSIVE walk(distance, a, b) AS (SELECT distance, a, b FROM near_by_step
+        UNION SELECT walk.distance, walk.a, n.b FROM walk JOIN near_by_step AS n ON n.distance = walk.distance AND n.a = walk.b)
+    SELECT distance, a AS zipcode, least(a, min(b)) AS label FROM walk GROUP BY distance, a""")
+
+
+@query("h04_spanning_tree", """SELECT distance, count(*) - count(DISTINCT label) AS n_edges FROM linked_by_step GROUP BY distance
+    UNION ALL SELECT 1e9::DOUBLE, count(*) - 1 FROM vectors""", needs=["vectors", "linked_by_step"], doubles=["distance"])
+def h04(spark, folder):
+    tree = hotspots.spanning_tree(customer_matrix(spark, folder), P.MIN_SAMPLES, BLOCK, FINISH)
+    steps = F.array(*[F.lit(float(t)) for t in (*STEPS, 1e9)])
+    upto = tree.select(F.explode(F.filter(steps, lambda t: F.col("w") <= t)).alias("distance"))
+    return upto.groupBy("distance").agg(F.count("*").alias("n_edges"))
+
+
 BLOCKS["region_vectors"] = (("summary",), f"SELECT zipcode, [{', '.join(x.rpartition(' AS ')[0] for x in REGION_PARTS)}] AS x FROM summary")
 BLOCKS["region_gaps"] = (("region_vectors",), "SELECT p.zipcode AS a, q.zipcode AS b, list_distance(p.x, q.x) AS d FROM region_vectors AS p JOIN region_vectors AS q ON p.zipcode <> q.zipcode")
 BLOCKS["region_cores"] = (("region_gaps",), f"SELECT a AS zipcode, list_sort(list(d))[{P.MIN_SAMPLES}] AS core FROM region_gaps GROUP BY a")

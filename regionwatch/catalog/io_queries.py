@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import params as P
 from ..functions import windows
@@ -13,8 +15,9 @@ from ..sources import derived, payloads, sinks, tables
 from ..streaming import alerts, daily_panel
 from . import base
 from .base import cleaned, featured, query
-from .forecast_queries import MODELS_SQL
+from .forecast_queries import LINE_AHEAD, MODELS_SQL, fitted_line
 from .hotspot_queries import WIDE, placed
+from .panel_queries import values_apart
 
 
 # --- landed payloads: built from the panel, then parsed ---------------------------
@@ -118,33 +121,40 @@ def s10(spark, folder):
     return spark.read.schema("date date, er_visits double, aqi double, zipcode string").parquet(path)
 
 
-@query("s11_report_sink")
+@query("s11_report_sink", "SELECT * FROM report", needs=["report"], doubles=["number"])
 def s11(spark, folder):
     job = jobs.preprocess(derived.long_sources(spark, folder), derived.panel_regions(spark), unique=True)
     paths = sinks.write_reports({"quality": job.report}, work_folder(spark, "reports"))
-    return spark.read.schema("section string, column string, metric string, value string").json(paths["quality"])
-
-
-@query("s13_map_document")
-def s13(spark, folder):
-    return sinks.map_document(placed(spark, folder))
+    return values_apart(spark.read.schema("section string, column string, metric string, value string").json(paths["quality"]))
 
 
 MAP_TEXT = ("zipcode", "city", "state", "risk_level", "risk_color")
 MAP_NUMBERS = ("cluster_id", "disease_risk_score", "er_visits_mean", "pharmacy_sales_mean", "negative_sentiment_mean", "aqi_mean", "cluster_probability")
 
 
-@query("s13_map_lines", """
+MAP_SQL = """
     SELECT 'Feature' AS type, lon, lat, zipcode, city, state, risk_level, CASE risk_level WHEN 'Low' THEN '#2ecc71' WHEN 'Medium' THEN '#f39c12' ELSE '#e74c3c' END AS risk_color,
            CAST(cluster_id AS DOUBLE) AS cluster_id, round(score2, 4) AS disease_risk_score, round(er_visits, 2) AS er_visits_mean, round(pharmacy_sales, 2) AS pharmacy_sales_mean,
-           round(negative_sentiment, 4) AS negative_sentiment_mean, round(aqi, 1) AS aqi_mean, 0.5::DOUBLE AS cluster_probability FROM placed""", needs=["placed"], doubles=["lon", "lat"])
+           round(negative_sentiment, 4) AS negative_sentiment_mean, round(aqi, 1) AS aqi_mean, 0.5::DOUBLE AS cluster_probability FROM placed"""
+
+
+@query("s13_map_lines", MAP_SQL, needs=["placed"], doubles=["lon", "lat"])
 def s13_lines(spark, folder):
-    path = sinks.write_map(placed(spark, folder), work_folder(spark, "map"))
+    return parsed_features(spark.read.text(sinks.write_map(placed(spark, folder), work_folder(spark, "map"))))
+
+
+@query("s13_map_document", MAP_SQL, needs=["placed"], doubles=["lon", "lat"])
+def s13_document(spark, folder):
+    lines = spark.read.text(sinks.write_map_document(placed(spark, folder), work_folder(spark, "map-document")))
+    return parsed_features(lines.filter(F.col("value").contains('"Feature"')).select(F.ltrim("value", F.lit(",")).alias("value")))
+
+
+def parsed_features(lines):
     at = lambda p: F.get_json_object("value", f"$.{p}")
     place = [at(f"geometry.coordinates[{i}]").cast("double").alias(c) for i, c in enumerate(("lon", "lat"))]
     texts = [at(f"properties.{c}").alias(c) for c in MAP_TEXT]
     numbers = [at(f"properties.{c}").cast("double").alias(c) for c in MAP_NUMBERS]
-    return spark.read.text(path).select(at("type").alias("type"), *place, *texts, *numbers)
+    return lines.select(at("type").alias("type"), *place, *texts, *numbers)
 
 
 @query("s14_model_table", MODELS_SQL, needs=["clean"])
@@ -154,10 +164,10 @@ def s14(spark, folder):
     return sinks.load_models(spark, path).select("zipcode", "status", "n_rows", F.size("beta").alias("terms"))
 
 
-@query("s14_global_model")
+@query("s14_global_model", LINE_AHEAD, needs=["lag_line"], doubles=["yhat"], digits=5)
 def s14_global(spark, folder):
     train, _, _ = clean.split(cleaned(spark, folder))
-    model, _ = lag_regression.fit(train)
+    model, _ = fitted_line(train)
     path = sinks.write_table(model.table(train), work_folder(spark, "global-model"))
     loaded = lag_regression.LagModel.from_table(spark.read.parquet(path))
     return lag_regression.forecast(loaded, train)
@@ -175,14 +185,25 @@ def h09(spark, folder):
     return found.regions.select("zipcode", "cluster_id", "risk_level", "risk_color")
 
 
-@query("e04_full_run")
+WRITTEN_AS = {"map": "text", "quality": "json", "evaluation": "json", "evaluation_summary": "json", "map_metadata": "json", "run_summary": "json"}
+
+
+@query("e04_full_run", f"""
+    SELECT 'features' AS name, count(*) AS n_rows FROM clean WHERE er_visits IS NOT NULL
+    UNION ALL SELECT 'regions', count(*) FROM summary UNION ALL SELECT 'map', count(*) FROM summary WHERE lat IS NOT NULL AND lon IS NOT NULL
+    UNION ALL SELECT 'forecast', {P.FORECAST_HORIZON} * count(DISTINCT zipcode) FROM trained UNION ALL SELECT 'models', count(DISTINCT zipcode) FROM trained
+    UNION ALL SELECT 'quality', count(*) FROM report UNION ALL SELECT 'evaluation', count(DISTINCT zipcode) + 1 FROM labelled WHERE split = 'test'
+    UNION ALL SELECT 'evaluation_summary', 2 UNION ALL SELECT 'map_metadata', 1 UNION ALL SELECT 'run_summary', 1""",
+       needs=["summary", "trained", "report"])
 def e04(spark, folder):
     paths = full_run.full_run(
         derived.long_sources(spark, folder), derived.panel_regions(spark), work_folder(spark, "run"), unique=True
     )
-    forecasts = spark.read.schema("ds date, yhat double, yhat_lower double, yhat_upper double, zipcode string").parquet(paths["forecast"])
-    levels = spark.read.parquet(paths["regions"]).select("zipcode", "risk_level")
-    return forecasts.join(levels, "zipcode")
+    counts = [
+        spark.read.format(WRITTEN_AS.get(name, "parquet")).load(path).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 # --- streams ---------------------------------------------------------------------------

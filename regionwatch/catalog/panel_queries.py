@@ -10,7 +10,7 @@ from ..operators import clean, lookup, merge, quality, region
 from ..plans import jobs
 from ..sources import derived, tables
 from .base import (
-    BLOCKS, NUMERIC, OTHERS, category_sql, clip_sql, cleaned, dec_sum, featured, fill_sql, key, lookup_values, merged, query,
+    BLOCKS, NUMERIC, OTHERS, TIE_OFFSET, category_sql, clip_sql, cleaned, dec_sum, featured, fill_sql, key, lookup_values, merged, query,
 )
 
 ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz"
@@ -371,13 +371,14 @@ def dataset_sql(name: str, block: str, columns: list[str]) -> str:
 
 @query("q11_datasets_table", " UNION ALL ".join([
     dataset_sql("pharmacy", "pharmacy", ["date", "zipcode", "pharmacy_sales", "outbreak_event"]),
+    dataset_sql("social_media", "social_media", ["date", "zipcode", "negative_sentiment", "post_volume", "symptom_mention_rate"]),
+    dataset_sql("weather", "weather", ["date", "zipcode", "temperature_c", "humidity_pct", "precipitation_mm", "wind_speed_kmh"]),
+    dataset_sql("aqi", "air", ["date", "zipcode", "aqi", "pm25_ugm3", "aqi_category"]),
     dataset_sql("er_visits", "er", ["date", "zipcode", "er_visits"]),
     dataset_sql("master", "merged", ["date", "zipcode", *NUMERIC, "outbreak_event", "aqi_category", "city", "state", "lat", "lon"])]),
-       needs=["pharmacy", "er", "merged"])
+       needs=["merged"])
 def q11(spark, folder):
-    return quality.datasets_table(
-        {"pharmacy": derived.pharmacy(spark, folder), "er_visits": derived.er_visits(spark, folder), "master": merged(spark, folder)}
-    )
+    return quality.datasets_table({**derived.long_sources(spark, folder), "master": merged(spark, folder)})
 
 
 def describe_sql(c: str, number: bool) -> str:
@@ -389,11 +390,13 @@ def describe_sql(c: str, number: bool) -> str:
         (SELECT v {top} AS top, (SELECT k {top} AS freq, {stats} FROM numbers""")
 
 
-@query("q12_describe", " UNION ALL ".join(describe_sql(c, n) for c, n in (("pharmacy_sales", True), ("er_visits", True), ("zipcode", False), ("aqi_category", False), ("date", False))),
+DESCRIBED = {**dict.fromkeys([*NUMERIC, "lat", "lon"], True), **dict.fromkeys(["outbreak_event", "aqi_category", "city", "state", "zipcode", "date"], False)}
+
+
+@query("q12_describe", " UNION ALL ".join(describe_sql(c, n) for c, n in DESCRIBED.items()),
        needs=["numbers"], doubles=["mean", "std", "min", "max", "p25", "p50", "p75"], digits=4)
 def q12(spark, folder):
-    rows = clean.fix_types(merged(spark, folder)).select("pharmacy_sales", "er_visits", "zipcode", "aqi_category", "date")
-    return quality.describe(rows)
+    return quality.describe(clean.fix_types(merged(spark, folder)))
 
 
 @query("q13_missing_counts", f"""SELECT column_ AS "column", count_ AS "count" FROM ({MISSING_SQL}) AS m WHERE count_ > 0""", needs=["merged"])
@@ -435,7 +438,13 @@ def e02(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("e02_quality_report", f"""
+def stat_sql(c: str) -> str:
+    stats = (f"avg({c})", f"stddev_samp({c})", f"min({c})", f"max({c})", f"quantile_cont({c}, 0.5)")
+    return f"SELECT '{c}' AS c, [{', '.join(f'round({s} + {TIE_OFFSET}, 4)' for s in stats)}] AS stats FROM outliers"
+
+
+BLOCKS["report"] = (("outliers",), f"""
+    SELECT section, "column", metric, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS text, try_cast(value AS DOUBLE) AS number FROM (
     SELECT 'overview' AS section, CAST(NULL AS VARCHAR) AS "column", metric, value FROM (
         SELECT unnest(['n_rows', 'n_cols', 'n_regions', 'start', 'end']) AS metric,
                unnest([CAST(count(*) AS VARCHAR), '23', CAST(count(DISTINCT zipcode) AS VARCHAR), CAST(min(date) AS VARCHAR), CAST(max(date) AS VARCHAR)]) AS value
@@ -443,8 +452,17 @@ def e02(spark, folder):
     UNION ALL SELECT 'outlier_counts', c, 'count', CAST(n AS VARCHAR) FROM ({' UNION ALL '.join(
         f"SELECT '{c}' AS c, count(*) FILTER ({c}_outlier) AS n FROM outliers" for c in P.ANOMALY_COLUMNS)}) AS x
     UNION ALL SELECT 'missing_values', c, unnest(['count', 'pct']), unnest([CAST(n AS VARCHAR), CAST(round(n * 100.0::DOUBLE / total, 2) AS VARCHAR)])
-        FROM ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(*) - count({c}) AS n, count(*) AS total FROM outliers" for c in COUNTED)}) AS y WHERE n > 0""",
-       needs=["outliers"])
+        FROM ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(*) - count({c}) AS n, count(*) AS total FROM outliers" for c in COUNTED)}) AS y WHERE n > 0) AS r
+    UNION ALL SELECT 'numeric_stats', c, unnest(['mean', 'std', 'min', 'max', 'p50']), NULL, unnest(stats) FROM ({' UNION ALL '.join(stat_sql(c) for c in STAT_COLUMNS)}) AS z""")
+
+
+def values_apart(report):
+    """Numbers as numbers, since engines write them differently."""
+    number = F.col("value").try_cast("double")
+    return report.select("section", "column", "metric", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))
+
+
+@query("e02_quality_report", "SELECT * FROM report", needs=["report"], doubles=["number"])
 def e02_report(spark, folder):
     job = jobs.preprocess(derived.long_sources(spark, folder), derived.panel_regions(spark), unique=True)
-    return job.report.filter(F.col("section") != "numeric_stats")
+    return values_apart(job.report)

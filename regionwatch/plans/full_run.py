@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from .. import params as P
 from ..operators import clean, hotspots, region
-from ..session import reuse
+from ..session import released, reuse
 from ..sources import sinks
 from . import forecasting, jobs
 
@@ -39,17 +39,19 @@ def full_run(
     unique: bool = False,
 ) -> dict[str, str]:
     """Preprocess, features, hotspots, forecasts; writes everything and returns the paths."""
-    prepared = jobs.preprocess(sources, regions, unique)
-    written = {"features": sinks.write_table(jobs.feature_job(prepared.panel), f"{folder}/features")}
-    # later stages read the written table instead of computing the features again
-    features = prepared.panel.sparkSession.read.parquet(written["features"])
-    train, _, test = clean.split(features)
-    hot = hotspot_job(features, window_days)
-    ahead = forecasting.run(train, test, horizon)
-    written["regions"] = sinks.write_table(hot.regions, f"{folder}/regions")
-    written["map"] = sinks.write_map(hot.regions, f"{folder}/map")
-    written["forecast"] = sinks.write_forecasts(ahead.forecast, f"{folder}/forecast")
-    written["models"] = sinks.save_models(ahead.models, f"{folder}/models")
-    reports = {"quality": prepared.report, "evaluation": ahead.results, "evaluation_summary": ahead.summary, "map_metadata": hot.metadata}
-    written.update(sinks.write_reports(reports, f"{folder}/reports"))
+    with released():
+        prepared = jobs.preprocess(sources, regions, unique)
+        made = jobs.feature_job(prepared.panel)
+        written = {"features": sinks.write_table(made, f"{folder}/features", ("zipcode",))}
+        # later stages read the written table instead of computing the features again; keys keep their leading zeros
+        features = made.sparkSession.read.schema(made.schema).parquet(written["features"])
+        train, _, test = clean.split(features)
+        hot = hotspot_job(features, window_days)
+        ahead = forecasting.run(train, test, horizon)
+        written["regions"] = sinks.write_table(hot.regions, f"{folder}/regions")
+        written["map"] = sinks.write_map(hot.regions, f"{folder}/map")
+        written["forecast"] = sinks.write_forecasts(ahead.forecast, f"{folder}/forecast")
+        written["models"] = sinks.save_models(ahead.models, f"{folder}/models")
+        reports = {"quality": prepared.report, "evaluation": ahead.results, "evaluation_summary": ahead.summary, "map_metadata": hot.metadata}
+        written.update(sinks.write_reports(reports, f"{folder}/reports"))
     return written

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +60,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one job read.
 
-    Used on aggregated panels only; lost blocks are recomputed from the sources.
+    Used on aggregated panels only; lost blocks are recomputed from the sources. Inside ``released`` it is kept until
+    the end of that block, else until its caller lets it go.
     """
-    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.storageLevel != StorageLevel.NONE:
+        return df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _scopes:
+        _scopes[-1].append(kept)
+    return kept
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Lets go, at its end, of the frames that ``reuse`` kept inside it; for jobs that write all they return."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            df.unpersist()

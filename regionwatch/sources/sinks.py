@@ -45,20 +45,27 @@ def write_map(labelled: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def map_document(labelled: DataFrame) -> DataFrame:
-    """One FeatureCollection document with its metadata.
+    """Lines (part, zipcode, value) that make one FeatureCollection document when put in order of part and zipcode.
 
-    For the bounded region table only (one feature per region key); ``write_map``
-    has no such bound.
+    The head holds the metadata, every region is one line, and no row holds more than one feature.
     """
-    features = map_features(labelled).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("zipcode", "feature"))), lambda f: f["feature"]).alias("features")
-    )
     about = metadata(labelled).select(
         F.struct("n_regions", "n_clusters", F.struct("High", "Medium", "Low").alias("risk_distribution")).alias("m")
     )
-    return features.withColumn("metadata", about.scalar()).select(
-        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features", "metadata")).alias("document")
-    )
+    no_key = F.lit(None).cast("string").alias("zipcode")
+    head = F.concat(F.lit('{"type":"FeatureCollection","metadata":'), F.to_json("m"), F.lit(',"features":['))
+    features = map_features(labelled)
+    first = features.agg(F.min("zipcode").alias("z")).scalar()
+    comma = F.when(F.col("zipcode") == first, "").otherwise(",")
+    lines = features.select(F.lit(1).alias("part"), "zipcode", F.concat(comma, F.to_json("feature")).alias("value"))
+    tail = labelled.sparkSession.range(1).select(F.lit(2).alias("part"), no_key, F.lit("]}").alias("value"))
+    return about.select(F.lit(0).alias("part"), no_key, head.alias("value")).unionByName(lines).unionByName(tail)
+
+
+def write_map_document(labelled: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """The document in files that follow each other by name: sorted by ranges, so by as many tasks as there are ranges."""
+    map_document(labelled).orderBy("part", "zipcode").select("value").write.mode(mode).text(path)
+    return path
 
 
 def save_models(models: DataFrame, path: str, note: str = "") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionwatch.operators import density, hotspots
+from regionwatch.session import work_folder
 from regionwatch.sources import sinks
 
 
@@ -105,7 +107,8 @@ def test_map_document_is_valid(spark):
     rows = found.collect()
     assert len(rows) == 12 and all(r["cluster_id"] >= -1 and r["risk_level"] in ("Low", "Medium", "High") for r in rows)
     lost = found.withColumn("lat", F.when(F.col("zipcode") != "00003", F.col("lat")))
-    doc = json.loads(sinks.map_document(lost).first()["document"])
+    path = sinks.write_map_document(lost, work_folder(spark, "map"))
+    doc = json.loads("".join(open(f).read() for f in sorted(glob.glob(f"{path.removeprefix('file:')}/part-*"))))
     assert doc["type"] == "FeatureCollection" and len(doc["features"]) == doc["metadata"]["n_regions"] == 11
     assert doc["features"][0]["geometry"] == {"type": "Point", "coordinates": [-70.0, 40.0]}
     assert sum(doc["metadata"]["risk_distribution"].values()) == 11
