@@ -191,7 +191,7 @@ WRITTEN_AS = {"map": "text", "quality": "json", "evaluation": "json", "evaluatio
 @query("e04_full_run", f"""
     SELECT 'features' AS name, count(*) AS n_rows FROM clean WHERE er_visits IS NOT NULL
     UNION ALL SELECT 'regions', count(*) FROM summary UNION ALL SELECT 'map', count(*) FROM summary WHERE lat IS NOT NULL AND lon IS NOT NULL
-    UNION ALL SELECT 'forecast', {P.FORECAST_HORIZON} * count(DISTINCT zipcode) FROM trained UNION ALL SELECT 'models', count(DISTINCT zipcode) FROM trained
+    UNION ALL SELECT 'forecast', count(*) + {P.FORECAST_HORIZON} * count(DISTINCT zipcode) FROM trained UNION ALL SELECT 'models', count(DISTINCT zipcode) FROM trained
     UNION ALL SELECT 'quality', count(*) FROM report UNION ALL SELECT 'evaluation', count(DISTINCT zipcode) + 1 FROM labelled WHERE split = 'test'
     UNION ALL SELECT 'evaluation_summary', 2 UNION ALL SELECT 'map_metadata', 1 UNION ALL SELECT 'run_summary', 1""",
        needs=["summary", "trained", "report"])
