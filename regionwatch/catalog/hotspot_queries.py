@@ -10,8 +10,8 @@ from ..sources import derived
 from .base import BLOCKS, cleaned, featured, key, query
 
 EPS = 0.35
-# small, so that blocks are split and rounds run on the smallest tables too
-BLOCK, FINISH = 256, 500
+# small enough that blocks are split on the smallest tables too, and that h03 and h04 run rounds there
+BLOCK, FINISH = 1024, 500
 
 
 def customer_regions(spark, folder):
@@ -92,8 +92,8 @@ BLOCKS["linked"] = (("near",), """
     LEFT JOIN (SELECT label FROM linked GROUP BY label HAVING count(*) >= 3) AS c USING (label)""", needs=["places", "linked"])
 def h05(spark, folder):
     regions = customer_regions(spark, folder)
-    tree = hotspots.spanning_tree(hotspots.feature_matrix(regions), P.MIN_SAMPLES, BLOCK, FINISH)
-    return hotspots.components(tree, regions, EPS, finish=FINISH)
+    tree = hotspots.spanning_tree(hotspots.feature_matrix(regions), P.MIN_SAMPLES, BLOCK)
+    return hotspots.components(tree, regions, EPS)
 
 
 # all edges up to a distance connect as much as the tree's edges up to it: regions less components
