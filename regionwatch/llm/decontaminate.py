@@ -5,9 +5,12 @@ stretch as long as an item lies whole in one. A passage is a query of its distin
 similar best scores; for each word the index keeps its highest impact in every block. The commonest words are left
 out of the search as long as all of them together give a block at most the share COMMON of the score it needs; the
 maxima of the other words are summed for many passages at once, and only in blocks whose bound reaches the least
-score that an item there needs are items scored (block-max WAND: nothing that reaches its threshold is lost). An item
-needs the share CANDIDATE of the score that its own text would get. Candidates are verified: shares of the five-word
-shingles of the item's question and of its answer (its last sentence) that stand in the passage.
+score that an entry there needs are entries scored (block-max WAND: nothing that reaches its threshold is lost).
+An item's entry needs the share CANDIDATE of the score that its own text would get. Where half of the question's
+shingles may score less than that, the question is an entry of its own, which needs a lower bound of what any half of
+its shingles scores; so no passage is dropped that the check would accept. Candidates are verified: shares of the
+five-word shingles of the item's question and of its answer (its last sentence) that stand in the passage. A question
+of fewer than SHINGLE words proves nothing alone; it counts only where the item's entry has its score.
 
 The index holds shards of bounded size, each broadcast for a pass over the documents: a stated query set in blocks.
 Word statistics are over all items.
@@ -18,8 +21,9 @@ doc_id or item_id is carried along; an empty table gives no leaks; other columns
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +39,8 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 2
 COMMON = 0.3
+#: Shares of the positions that cost less than each price tried in the lower bound.
+PRICES = np.linspace(0, 1, 33)
 #: Sums of passages and blocks that are held at a time.
 SUMS_AT_A_TIME = 1 << 21
 #: Words of the items in one shard; the broadcast index is some 100 bytes for each.
@@ -65,6 +71,30 @@ def shingles(ids: np.ndarray) -> set[bytes]:
     return {raw[4 * k : 4 * (k + n)] for k in range(len(ids) - n + 1)} if n else set()
 
 
+def least_score(ids: np.ndarray, impacts: dict[int, float]) -> float:
+    """At most what the words of any OVERLAP of the sequence's shingles score together.
+
+    A word's impact is shared out over its places, so places that chosen shingles cover cost no more than their words.
+    The cheapest choice of a number of shingles is bounded from below by giving each one a price back (Lagrange).
+    """
+    places, times = np.unique(ids, return_inverse=True, return_counts=True)[1:]
+    weight = np.array([impacts[t] for t in ids.tolist()]) / times[places]
+    price = np.quantile(weight, PRICES)
+    total = np.concatenate(([0.0], np.cumsum(weight)))
+    before = np.zeros(len(price))  # the cheapest choice that ends apart from this shingle
+    least = np.full(len(price), np.inf)
+    ends: deque[np.ndarray] = deque(maxlen=SHINGLE)  # the cheapest choices that end with each of the last shingles
+    for k in range(len(ids) - SHINGLE + 1):
+        if len(ends) == SHINGLE:
+            before = np.minimum(before, ends[0])
+        cost = before + (total[k + SHINGLE] - total[k])
+        for gap in range(1, min(SHINGLE, len(ends) + 1)):
+            cost = np.minimum(cost, ends[-gap] + (total[k + SHINGLE] - total[k + SHINGLE - gap]))
+        ends.append(cost - price)
+        least = np.minimum(least, ends[-1])
+    return float((least + price * math.ceil(OVERLAP * len(shingles(ids)))).max())
+
+
 class Item(NamedTuple):
     item_id: int | None
     impacts: dict[int, float]  # of its words
@@ -75,6 +105,13 @@ class Item(NamedTuple):
     answer_words: int
 
 
+class Entry(NamedTuple):
+    n: int  # of its item
+    impacts: dict[int, float]
+    need: float
+    part: bool = False  # proved by shingles alone
+
+
 class Index:
     """Items of one shard. Built from (item_id, text) and, for their words, the number of all items that hold each."""
 
@@ -82,7 +119,7 @@ class Index:
         cut = [(i, *question_and_answer(t)) for i, t in rows]
         self.vocab = {w: k for k, w in enumerate(sorted({w for _, q, a in cut for w in (*q, *a)}))}
         ids = lambda ws: np.array([self.vocab[w] for w in ws], np.int32)
-        items = []
+        items, parts = [], []
         for i, q, a in cut:
             tf = Counter(self.vocab[w] for w in (*q, *a))
             if not tf:
@@ -94,9 +131,19 @@ class Index:
             norm = K1 * (1 - B + B * (len(q) + len(a)) / mean_words)
             impacts = idf * freq * (K1 + 1) / (freq + norm)
             items.append(Item(i, dict(zip(terms.tolist(), impacts.tolist())), float(impacts.sum()), shingles(ids(q)), shingles(ids(a)), min(SHINGLE, len(q)), min(SHINGLE, len(a))))
-        self.items = sorted(items, key=lambda x: x.best)
-        self.blocks = [self.items[k : k + BLOCK_ITEMS] for k in range(0, len(self.items), BLOCK_ITEMS)]
-        self.needed = np.array([CANDIDATE * min(x.best for x in block) for block in self.blocks]) * (1 - 1e-9)
+            parts.append([ids(p) for p in (q,) if len(p) >= SHINGLE])
+        order = sorted(range(len(items)), key=lambda n: items[n].best)
+        self.items = [items[n] for n in order]
+        entries = []
+        for n, (item, own) in enumerate(zip(self.items, (parts[n] for n in order))):
+            entries.append(Entry(n, item.impacts, CANDIDATE * item.best * (1 - 1e-9)))
+            for p in own:
+                need = least_score(p, item.impacts) * (1 - 1e-9)
+                if need < CANDIDATE * item.best:
+                    entries.append(Entry(n, {t: item.impacts[t] for t in set(p.tolist())}, need, True))
+        entries.sort(key=lambda e: e.need)
+        self.blocks = [entries[k : k + BLOCK_ITEMS] for k in range(0, len(entries), BLOCK_ITEMS)]
+        self.needed = np.array([block[0].need for block in self.blocks])
         self.stride = max((len(q) + len(a) for _, q, a in cut), default=1) or 1
         self._post()
 
@@ -104,8 +151,8 @@ class Index:
         """Lists of (block, highest impact there) of the words, but for the commonest, whose bound lowers the need."""
         maxima: list[dict[int, float]] = [{} for _ in self.vocab]
         for k, block in enumerate(self.blocks):
-            for item in block:
-                for t, impact in item.impacts.items():
+            for entry in block:
+                for t, impact in entry.impacts.items():
                     maxima[t][k] = max(maxima[t].get(k, 0.0), impact)
         left_out = np.zeros(len(self.blocks))
         for t in sorted(range(len(maxima)), key=lambda t: -len(maxima[t])):
@@ -119,8 +166,11 @@ class Index:
         self.list_block = np.array([k for m in maxima for k in m], np.int64)
         self.list_value = np.array([v for m in maxima for v in m.values()])
 
-    def search(self, words: list[list[bytes]]) -> Iterator[tuple[int, int | None, float, float, float | None]]:
-        """(document, item, share of the best score, question overlap, answer overlap) of all verified leaks."""
+    def search(self, words: list[list[bytes]], parts: bool = False) -> Iterator[tuple[int, int | None, float, float, float | None]]:
+        """(document, item, share of the best score, question overlap, answer overlap) of all verified leaks.
+
+        Without parts only items that have the share CANDIDATE of their score.
+        """
         if not self.items:
             return
         ids = [np.fromiter((self.vocab.get(w, -1) for w in ws), np.int64, len(ws)) for ws in words]
@@ -141,13 +191,15 @@ class Index:
                 start = (passage - first[doc]) * self.stride
                 last, window = passage, ids[doc][start : start + 2 * self.stride].astype(np.int32)
                 terms = set(window.tolist())
-            for n, item in enumerate(self.blocks[block]):
+            for entry in self.blocks[block]:
+                if entry.part and not parts or sum(v for t, v in entry.impacts.items() if t in terms) < entry.need:
+                    continue
+                item = self.items[entry.n]
                 score = sum(v for t, v in item.impacts.items() if t in terms)
-                if score >= CANDIDATE * (1 - 1e-9) * item.best:
-                    got = self._verify(item, window, score / item.best)
-                    place = (doc, block * BLOCK_ITEMS + n)
-                    if got and got > found.get(place, ()):
-                        found[place] = got
+                got = (self._proof if entry.part else self._verify)(item, window, score / item.best)
+                place = (doc, entry.n)
+                if got and got > found.get(place, ()):
+                    found[place] = got
         for (doc, n), (share, question, answer) in sorted(found.items()):
             yield doc, self.items[n].item_id, share, question, None if answer < 0 else answer
 
@@ -172,16 +224,23 @@ class Index:
                 yield a + int(p), int(k)
 
     def _verify(self, item: Item, window: np.ndarray, share: float) -> tuple[float, float, float] | None:
+        """The share and the overlaps, if they tell of a leak."""
+        question, answer = self._overlaps(item, window)
+        return (share, question, answer) if question >= OVERLAP else None
+
+    def _proof(self, item: Item, window: np.ndarray, share: float) -> tuple[float, float, float] | None:
+        """The same without the item's score: a question shorter than a shingle proves nothing."""
+        question, answer = self._overlaps(item, window)
+        return (share, question, answer) if question >= OVERLAP and item.question_words == SHINGLE else None
+
+    def _overlaps(self, item: Item, window: np.ndarray) -> tuple[float, float]:
         raw = window.tobytes()
 
         def overlap(wanted: set[bytes], size: int) -> float:
             there = {raw[4 * k : 4 * (k + size)] for k in range(len(window) - size + 1)}
             return len(wanted & there) / len(wanted)
 
-        question = overlap(item.question, item.question_words)
-        if question < OVERLAP:
-            return None
-        return share, question, overlap(item.answer, item.answer_words) if item.answer else -1.0
+        return overlap(item.question, item.question_words), overlap(item.answer, item.answer_words) if item.answer else -1.0
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
@@ -222,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = b.column(0).to_pylist()
                 rows = [
                     (ids[d], i, s, q, a, "full" if a is None or a >= OVERLAP else "question")
-                    for d, i, s, q, a in shared.value.search([words_of(t) for t in b.column(1).to_pylist()])
+                    for d, i, s, q, a in shared.value.search([words_of(t) for t in b.column(1).to_pylist()], parts=True)
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)]
@@ -241,7 +300,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in shared.value.search([words_of(t) for t in b.column(at).to_pylist()])]] = False
+                keep[[d for d, *_ in shared.value.search([words_of(t) for t in b.column(at).to_pylist()], parts=True)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,41 @@ def test_bounds_lose_no_candidate(monkeypatch):
             assert got.get(d, {}) == pytest.approx(want)
 
 
+def indexed(items):
+    counted = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    return decontaminate.Index(items, counted, len(items), sum(len(decontaminate.words_of(t)) for _, t in items) / len(items))
+
+
+def test_questions_of_items_with_long_answers_are_found():
+    """Question-only and half-question copies, the cheapest half of the shingles among them."""
+    rng = random.Random(5)
+    vocab = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3_000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(5, 20))) + ". " + " ".join(rng.choices(vocab, k=rng.randint(20, 60))) + ".") for i in range(80)]
+    index, low = indexed(items), 0
+    for i, t in items:
+        question = decontaminate.question_and_answer(t)[0]
+        half = -(-len({tuple(question[k : k + 5]) for k in range(len(question) - 4)}) // 2) + 4
+        for k in range(len(question) - half + 1):
+            words = [f"x{n}" for n in range(200)] + question[k : k + half] + [f"y{n}" for n in range(200)]
+            for copy in (words, [*words[:200], *question, *words[200 + half :]]):
+                wanted = shingle_share(question, copy) >= 0.5
+                got = {n: share for _, n, share, *_ in index.search([copy], parts=True)}
+                assert (i in got) == wanted
+                low += got.get(i, 1) < decontaminate.CANDIDATE
+    assert low > 100
+
+
+def test_least_score_is_a_lower_bound():
+    rng = random.Random(6)
+    for _ in range(200):
+        ids = [rng.randrange(8) for _ in range(rng.randint(5, 14))]
+        impacts = {t: rng.random() for t in ids}
+        runs = sorted({tuple(ids[k : k + 5]) for k in range(len(ids) - 4)})
+        exactly = min(sum(impacts[t] for t in set().union(*some)) for some in itertools.combinations(runs, -(-len(runs) // 2)))
+        bound = decontaminate.least_score(decontaminate.np.array(ids, "int32"), impacts)
+        assert 0 < bound <= exactly + 1e-9
+
+
 def test_odd_documents_and_items(spark, odd, none, monkeypatch):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "one two three four five six seven"), (4, "Five six seven eight nine ten eleven twelve? Thirteen fourteen."), (4, "a")], "item_id long, text string")
     for shard in (200_000, 8):
