@@ -6,11 +6,13 @@ similar best scores; for each word the index keeps its highest impact in every b
 out of the search as long as all of them together give a block at most the share COMMON of the score it needs; the
 maxima of the other words are summed for many passages at once, and only in blocks whose bound reaches the least
 score that an entry there needs are entries scored (block-max WAND: nothing that reaches its threshold is lost).
-An item's entry needs the share CANDIDATE of the score that its own text would get. Where half of the question's
-shingles may score less than that, the question is an entry of its own, which needs a lower bound of what any half of
-its shingles scores; so no passage is dropped that the check would accept. Candidates are verified: shares of the
-five-word shingles of the item's question and of its answer (its last sentence) that stand in the passage. A question
-of fewer than SHINGLE words proves nothing alone; it counts only where the item's entry has its score.
+An item's entry needs the share CANDIDATE of the score that its own text would get. Where half of the shingles of the
+question, of the answer (the last sentence) or of the whole text may score less than that, this part is an entry of its
+own, which needs a lower bound of what any half of its shingles scores; so no passage is dropped that the check would
+accept. Candidates are verified: shares of the five-word shingles of the item's question, answer and whole text that
+stand in the passage, one of which must be OVERLAP. A part of fewer than SHINGLE words proves nothing alone; such a
+question counts only where the item's entry has its score, such an answer never. The kind of a leak is full (question and
+answer, or a question without an answer), question, answer, or text (neither, but the whole).
 
 The index holds shards of bounded size, each broadcast for a pass over the documents: a stated query set in blocks.
 Word statistics are over all items.
@@ -101,8 +103,10 @@ class Item(NamedTuple):
     best: float
     question: set[bytes]
     answer: set[bytes]
+    text: set[bytes]
     question_words: int  # of a shingle
     answer_words: int
+    text_words: int
 
 
 class Entry(NamedTuple):
@@ -130,8 +134,8 @@ class Index:
             idf = np.log1p((n_items - seen + 0.5) / (seen + 0.5))
             norm = K1 * (1 - B + B * (len(q) + len(a)) / mean_words)
             impacts = idf * freq * (K1 + 1) / (freq + norm)
-            items.append(Item(i, dict(zip(terms.tolist(), impacts.tolist())), float(impacts.sum()), shingles(ids(q)), shingles(ids(a)), min(SHINGLE, len(q)), min(SHINGLE, len(a))))
-            parts.append([ids(p) for p in (q,) if len(p) >= SHINGLE])
+            items.append(Item(i, dict(zip(terms.tolist(), impacts.tolist())), float(impacts.sum()), *(shingles(ids(p)) for p in (q, a, q + a)), *(min(SHINGLE, len(p)) for p in (q, a, q + a))))
+            parts.append([ids(p) for p in ((q, a, q + a) if a else (q,)) if len(p) >= SHINGLE])
         order = sorted(range(len(items)), key=lambda n: items[n].best)
         self.items = [items[n] for n in order]
         entries = []
@@ -166,10 +170,11 @@ class Index:
         self.list_block = np.array([k for m in maxima for k in m], np.int64)
         self.list_value = np.array([v for m in maxima for v in m.values()])
 
-    def search(self, words: list[list[bytes]], parts: bool = False) -> Iterator[tuple[int, int | None, float, float, float | None]]:
-        """(document, item, share of the best score, question overlap, answer overlap) of all verified leaks.
+    def search(self, words: list[list[bytes]], parts: bool = False) -> Iterator[tuple[int, int | None, float, float, float | None, str]]:
+        """(document, item, share of the best score, question overlap, answer overlap, kind) of all verified leaks.
 
-        Without parts only items that have the share CANDIDATE of their score.
+        Of several passages the one with the question goes first, then the best share. Without parts only items that have
+        the share CANDIDATE of their score.
         """
         if not self.items:
             return
@@ -198,10 +203,12 @@ class Index:
                 score = sum(v for t, v in item.impacts.items() if t in terms)
                 got = (self._proof if entry.part else self._verify)(item, window, score / item.best)
                 place = (doc, entry.n)
-                if got and got > found.get(place, ()):
+                if got and (place not in found or (got[1] >= OVERLAP, got) > (found[place][1] >= OVERLAP, found[place])):
                     found[place] = got
         for (doc, n), (share, question, answer) in sorted(found.items()):
-            yield doc, self.items[n].item_id, share, question, None if answer < 0 else answer
+            by_answer = answer >= OVERLAP and self.items[n].answer_words == SHINGLE
+            kind = ("full" if not 0 <= answer < OVERLAP else "question") if question >= OVERLAP else "answer" if by_answer else "text"
+            yield doc, self.items[n].item_id, share, question, None if answer < 0 else answer, kind
 
     def _candidates(self, half: np.ndarray, term: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, int]]:
         """(passage, block) whose bound reaches what the block needs; passage p is the halves p and p + 1.
@@ -225,22 +232,22 @@ class Index:
 
     def _verify(self, item: Item, window: np.ndarray, share: float) -> tuple[float, float, float] | None:
         """The share and the overlaps, if they tell of a leak."""
-        question, answer = self._overlaps(item, window)
-        return (share, question, answer) if question >= OVERLAP else None
+        return self._proof(item, window, share, 1)
 
-    def _proof(self, item: Item, window: np.ndarray, share: float) -> tuple[float, float, float] | None:
-        """The same without the item's score: a question shorter than a shingle proves nothing."""
-        question, answer = self._overlaps(item, window)
-        return (share, question, answer) if question >= OVERLAP and item.question_words == SHINGLE else None
-
-    def _overlaps(self, item: Item, window: np.ndarray) -> tuple[float, float]:
+    def _proof(self, item: Item, window: np.ndarray, share: float, least_words: int = SHINGLE) -> tuple[float, float, float] | None:
+        """The same for parts without the item's score: a question of fewer words proves nothing."""
         raw = window.tobytes()
 
         def overlap(wanted: set[bytes], size: int) -> float:
             there = {raw[4 * k : 4 * (k + size)] for k in range(len(window) - size + 1)}
             return len(wanted & there) / len(wanted)
 
-        return overlap(item.question, item.question_words), overlap(item.answer, item.answer_words) if item.answer else -1.0
+        question = overlap(item.question, item.question_words)
+        answer = overlap(item.answer, item.answer_words) if item.answer else -1.0
+        proved = question >= OVERLAP and item.question_words >= least_words
+        proved = proved or answer >= OVERLAP and item.answer_words == SHINGLE
+        proved = proved or item.text_words == SHINGLE and overlap(item.text, SHINGLE) >= OVERLAP
+        return (share, question, answer) if proved else None
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
@@ -279,10 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 ids = b.column(0).to_pylist()
-                rows = [
-                    (ids[d], i, s, q, a, "full" if a is None or a >= OVERLAP else "question")
-                    for d, i, s, q, a in shared.value.search([words_of(t) for t in b.column(1).to_pylist()], parts=True)
-                ]
+                found = shared.value.search([words_of(t) for t in b.column(1).to_pylist()], parts=True)
+                rows = [(ids[d], *leak) for d, *leak in found]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])

@@ -154,6 +154,19 @@ def test_questions_of_items_with_long_answers_are_found():
     assert low > 100
 
 
+def test_answers_and_whole_texts_are_leaks():
+    answer = "a long last sentence goes on for many words and holds most of what the item says to its reader"
+    items = [(1, f"Why? {answer.capitalize()}."), (2, "one two three four five six seven eight nine ten. " + "Eleven twelve thirteen fourteen fifteen sixteen."), (3, "What is it that we all want? Four."), (4, "Red blue green grey. Pink white black brown.")]
+    index = indexed(items)
+    pad = [b"x%d" % n for n in range(150)]
+    found = lambda text: [(i, kind) for _, i, *_, kind in index.search([pad + decontaminate.words_of(text) + pad], parts=True)]
+    assert found(answer) == [(1, "answer")] and found(f"Why {answer}") == [(1, "full")]
+    assert found(answer.rsplit(" ", 4)[0]) == [(1, "answer")] and found("its reader goes on and says for many words what most items say") == []
+    assert found("eleven twelve thirteen fourteen fifteen sixteen") == [(2, "answer")] and found(items[1][1]) == [(2, "full")]
+    assert found("four five six seven eight nine ten") == [(2, "question")] and found("four") == [] and found("why") == []
+    assert found("blue green grey pink white") == [] and found("blue green grey pink white black") == [(4, "text")]
+
+
 def test_least_score_is_a_lower_bound():
     rng = random.Random(6)
     for _ in range(200):
