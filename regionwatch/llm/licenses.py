@@ -12,6 +12,7 @@ input are not looked at.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -103,17 +104,38 @@ def windows(text: bytes, n: Notice) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
+def places(text: bytes, n: Notice, a: int, b: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the notice in a window, apart from each other: the best first, then both sides of it.
+
+    A match without the key word gives way to others that overlap it.
+    """
+    found, todo, seen = [], [(a, b)], set()
+    while todo:
+        at, end = stretch = todo.pop()
+        if stretch in seen or not (m := n.pattern.search(text, at, end)):
+            continue
+        seen.add(stretch)
+        s, e = m.span()
+        if n.key not in text[s - 1 : e + 1]:
+            todo += [(at, e), (s + 1, end)]
+            continue
+        found.append((s, e, sum(m.fuzzy_counts)))
+        todo += [(max(e, s + 1) - 1 if n.base else max(e, s + 1), end)] + ([] if n.base else [(at, s)])
+    apart: list[tuple[int, int, int]] = []
+    for place in sorted(set(found), key=lambda f: (f[2], f[0])):
+        k = bisect.bisect(apart, place)
+        if (k == 0 or apart[k - 1][1] <= place[0]) and (k == len(apart) or place[1] <= apart[k][0]):
+            apart.insert(k, place)
+    return apart
+
+
 def search(text: bytes, notices: tuple[Notice, ...] = ALL_NOTICES) -> list[Found]:
     """All notices of a text that is words, each with a blank before and after it."""
     found = []
     for n in notices:
         for a, b in windows(text, n):
-            at = a
-            while m := n.pattern.search(text, at, min(b, len(text))):
-                s, e = m.span()
-                if n.key in text[s - 1 : e + 1]:
-                    found.append(Found(n.label, text.count(b" ", 0, s) - 1, text.count(b" ", s, e) + 1, sum(m.fuzzy_counts), len(n.phrase), n.base))
-                at = max(e, s + 1) - 1 if n.base else max(e, s + 1)
+            for s, e, edits in places(text, n, a, min(b, len(text))):
+                found.append(Found(n.label, text.count(b" ", 0, s) - 1, text.count(b" ", s, e) + 1, edits, len(n.phrase), n.base))
     return found
 
 

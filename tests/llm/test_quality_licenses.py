@@ -154,6 +154,39 @@ def test_pieces_lose_no_place():
         assert bool(whole) == bool(licenses.search(text, (n,)))
 
 
+@pytest.mark.parametrize(("text", "label", "starts"), [
+    ("creative commons atributon creative common attribution", "cc", [0]),
+    ("gnu lesser genral publc licence or gnu leser general public license", "lgpl", [0]),
+    ("licensed under teh apache licence licensed under the apache license", "apache", [0, 5]),
+    ("licensed under the apache license and licensed under teh apache licence or licensd under the apache license", "apache", [0, 6, 12]),
+])
+def test_notices_side_by_side(text, label, starts):
+    found = [f for f in licenses.search(b" " + text.encode() + b" ") if f.label == label and not f.base]
+    assert sorted({f.first_word for f in found}) == starts
+
+
+def test_notices_side_by_side_equal_brute_force():
+    """Each copy stands among others; one that is found alone is found there, too, or a place that overlaps it is."""
+    import random
+
+    rng = random.Random(7)
+    for n in (x for x in licenses.ALL_NOTICES if not x.base):
+        for _ in range(25):
+            copies = []
+            for _ in range(4):
+                t = bytearray(n.phrase)
+                for _ in range(rng.randint(0, n.edits + 1)):
+                    k = rng.randrange(len(t))
+                    t[k : k + 1] = rng.choice((b"", b"x"))
+                copies.append(bytes(t).split())
+            found = licenses.search(b" " + b" ".join(w for c in copies for w in c) + b" ", (n,))
+            at = 0
+            for c in copies:
+                if licenses.search(b" " + b" ".join(c) + b" ", (n,)):
+                    assert any(f.first_word < at + len(c) and at < f.first_word + f.n_words for f in found)
+                at += len(c)
+
+
 def test_odd_documents_licenses(odd, none):
     rows = licenses.scan(odd).collect()
     assert len(rows) == odd.count() and {r["base_labels"] for r in rows if r["doc_id"] == 12} == {"mit"}
