@@ -164,15 +164,24 @@ def s14(spark, folder):
     return sinks.load_models(spark, path).select("zipcode", "status", "n_rows", F.size("beta").alias("terms"))
 
 
-@query("s14_global_model", LINE_AHEAD, needs=["lag_line"], doubles=["yhat"], digits=5)
-def s14_global(spark, folder):
+def forecast_from_table(spark, folder, fit):
     train, _, _ = clean.split(cleaned(spark, folder))
-    model, _ = fitted_line(train)
+    model, _ = fit(train)
     path = sinks.write_table(model.table(train), work_folder(spark, "global-model"))
     loaded = lag_regression.LagModel.from_table(spark.read.parquet(path))
     return lag_regression.forecast(loaded, train)
 
 
+@query("s14_global_model")
+def s14_global(spark, folder):
+    return forecast_from_table(spark, folder, lag_regression.fit)
+
+
+@query("s14_line_model", LINE_AHEAD, needs=["lag_line"], doubles=["yhat"], digits=5)
+def s14_line(spark, folder):
+    return forecast_from_table(spark, folder, fitted_line)
+
+
 # --- whole jobs ----------------------------------------------------------------------
 
 

@@ -77,3 +77,28 @@ def test_forecast_job_reports_every_model(spark):
     results = out.results.collect()
     assert sorted((r["model"], r["zipcode"]) for r in results) == [("lag_regression", "all"), ("seasonal", "02101"), ("seasonal", "10001")]
     assert out.average.first()["avg_mae"] < 3.0
+
+
+def test_global_model_query_runs_the_full_regression(spark):
+    """Every lag of every signal, through its table, against a recursion by hand."""
+    from regionwatch import catalog
+    from regionwatch.catalog.base import cleaned
+    from regionwatch.operators import clean
+
+    folder = "/root/testdata/sf0.001"
+    train = clean.split(cleaned(spark, folder))[0]
+    model, _ = lag_regression.fit(train)
+    signals = lag_regression.SIGNALS
+    rows = {}
+    for r in train.na.drop(subset=list(signals)).select("zipcode", "date", *signals).orderBy("zipcode", "date").collect():
+        rows.setdefault(r["zipcode"], []).append([float(r[s]) for s in signals])
+    want = []
+    for window in rows.values():
+        if len(window) >= model.lookback:
+            for _ in range(lag_regression.P.FORECAST_HORIZON):
+                flat = [v for row in window[-model.lookback :] for v in row]
+                value = sum(a * b for a, b in zip(flat, model.weights)) + model.intercept
+                window.append([value if s == lag_regression.P.TARGET else v for s, v in zip(signals, window[-1])])
+                want.append(max(value, 0.0))
+    got = [r["yhat"] for r in catalog.all_queries()["s14_global_model"](spark, folder).orderBy("zipcode", "ds").collect()]
+    assert model.lookback > 1 and want and got == pytest.approx(want, abs=1e-4)
