@@ -88,6 +88,17 @@ def test_terms_that_reveal_an_entity(spark):
             assert t == texts[i]
 
 
+def test_terms_seen_in_one_or_two_documents(spark):
+    """A name beside one address and nowhere else goes; words that others use too stay."""
+    said = lambda i: f"letter from {'abcdefghij'[i % 10] * 5} about the garden"
+    rows = [(i, f"{said(i)} in winter") for i in range(400)]
+    rows += [(400, "letter from Zaphodine at one@mail.example about the garden"), (401, "winter letter: Qwertyone, two@mail.example"), (402, "Ask Qwertyone about garden letter, two@mail.example")]
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[400] == "letter from <TERM> at <EMAIL> about the garden"
+    assert "Qwertyone" not in clean[401] + clean[402] and "letter" in clean[401] and "garden letter" in clean[402]
+    assert all(clean[i] == t for i, t in rows[:400])
+
+
 def test_odd_documents(odd, none):
     rows = privacy.digest(privacy.find(odd)).collect()
     assert len(rows) == odd.count()
