@@ -153,7 +153,10 @@ def joint_distances(
 
 
 def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Partial sums of one pair of source blocks over one block of terms; rows of term '' list the sources."""
+    """Partial sums of one pair of source blocks over one block of terms; rows of term '' list the sources.
+
+    Terms that stand in neither block are no columns here: ``width`` says how many are, ``zero`` what another one adds.
+    """
     lang, upper, lower = pdf["lang"].iloc[0], pdf["upper"].iloc[0], pdf["lower"].iloc[0]
     heads, cells = pdf[pdf["term"] == ""], pdf[pdf["term"] != ""]
     column, terms = pd.factorize(cells["term"])
@@ -176,7 +179,8 @@ def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     i, j = np.meshgrid(np.arange(len(names[upper])), np.arange(len(names[lower])), indexing="ij")
     wanted = (i < j) if upper == lower else np.ones_like(i, bool)
     i, j = i[wanted], j[wanted]
-    return pd.DataFrame({"lang": lang, "source": names[upper][i], "item": names[lower][j], "value": sums[i, j]})
+    apart = np.abs(zero[upper][i] - zero[lower][j])
+    return pd.DataFrame({"lang": lang, "source": names[upper][i], "item": names[lower][j], "value": sums[i, j], "width": len(terms), "zero": apart})
 
 
 def pair_distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -196,8 +200,12 @@ def pair_distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     )
     both = heads.unionByName(found).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = both.select("lang", "source", "term", "p", "block", "part", F.least("block", "other").alias("upper"), F.greatest("block", "other").alias("lower"))
-    partial = met.groupBy("lang", "part", "upper", "lower").applyInPandas(_tile_sums, "lang string, source string, item string, value long")
-    sums = partial.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    partial = met.groupBy("lang", "part", "upper", "lower").applyInPandas(
+        _tile_sums, "lang string, source string, item string, value long, width long, zero long"
+    )
+    sums = partial.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("width").alias("width"), F.first("zero").alias("zero"))
+    of_lang = groups.groupBy("lang").agg(F.first("terms").alias("terms"))
+    sums = sums.join(of_lang, "lang").select("lang", "source", "item", (F.col("value") + (F.col("terms") - F.col("width")) * F.col("zero")).alias("value"))
     return sums.unionByName(sums.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
 
 
