@@ -101,6 +101,34 @@ def test_exact_quantiles_match_the_exact_builtin(spark, n):
             assert [got[(c, p)] for p in probs] == pytest.approx(want, rel=1e-12)
 
 
+def test_quantiles_of_adversarial_values(spark, monkeypatch):
+    from regionwatch.functions import quantiles
+
+    # few values a bracket and a rough sketch: several rounds, and ranks outside the first cuts
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 30)
+    n = F.col("id")
+    df = spark.range(900).select(
+        F.pow(F.lit(10.0), (n * 7919 % 601 - 300).cast("double")).alias("wide"),
+        F.when(n % 10 < 9, 5.0).otherwise(n * 1e-9).alias("tied"),
+        F.when(n % 2 == 0, -1e308).when(n % 3 == 0, 1e308).otherwise(-n * 1.0).alias("far"),
+        F.lit(7.0).alias("same"),
+        F.when(n == 5, 0.0).when(n == 6, -0.0).alias("two"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    probs = [0.0, 0.333, 0.5, 0.95]
+    columns = ["wide", "tied", "far", "same", "two", "none"]
+    got = {(r["column"], r["probability"]): r["value"] for r in exact_quantiles(df, columns, probs).collect()}
+    assert {c for c, _ in got} == set(columns) - {"none"}
+    for c in columns[:-1]:
+        values = sorted(r[0] for r in df.select(c).dropna().collect())
+        for p in probs:
+            at = p * (len(values) - 1)
+            low, high = values[int(at)], values[-int(-at // 1)]
+            assert got[c, p] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12), (c, p)
+
+
 def test_split_is_ordered_and_disjoint(spark):
     df = spark.range(100).select(F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("date"), F.lit("1").alias("zipcode"))
     train, validation, test = (sorted(r["date"] for r in part.collect()) for part in clean.split(df))
