@@ -130,10 +130,21 @@ BLOCKS["region_clusters"] = (("region_cores", "region_linked"), f"""
 
 @query("h06_density_labels", "SELECT * FROM region_clusters", needs=["region_clusters"], doubles=["cluster_probability"], digits=5)
 def h06(spark, folder):
-    found = hotspots.detect(region.snapshot(featured(spark, folder), 30), epsilon=WIDE)
+    found = hotspots.detect(region.snapshot(featured(spark, folder), 30), epsilon=WIDE, method="distance")
     return found.select("zipcode", "cluster_id", "cluster_probability")
 
 
+# the hierarchy's choice of clusters is beyond SQL; tests hold it against a plain version
+@query("h06_hierarchy_labels")
+def h06_hierarchy(spark, folder):
+    return hotspots.detect(region.snapshot(featured(spark, folder), 30)).select("zipcode", "cluster_id", "cluster_probability")
+
+
+@query("h06_hierarchy_labels_customers")
+def h06_hierarchy_customers(spark, folder):
+    return hotspots.memberships(customer_matrix(spark, folder))
+
+
 @query("h07_too_few_regions", f"SELECT {key('o_custkey')} AS zipcode, -1 AS cluster_id, 0.0::DOUBLE AS cluster_probability, 'Low' AS risk_level, '#2ecc71' AS risk_color FROM orders WHERE {key('o_custkey')} IN ('10001', '10002') GROUP BY 1")
 def h07(spark, folder):
     two = region.snapshot(cleaned(spark, folder).filter(F.col("zipcode").isin("10001", "10002")))

@@ -190,10 +190,15 @@ def s14_line(spark, folder):
            CASE WHEN cluster_id = -1 OR disease_risk_score < 0.33 THEN '#2ecc71' WHEN disease_risk_score < 0.66 THEN '#f39c12' ELSE '#e74c3c' END AS risk_color
     FROM summary JOIN region_clusters USING (zipcode)""", needs=["summary", "region_clusters"])
 def h09(spark, folder):
-    found = full_run.hotspot_job(featured(spark, folder), epsilon=WIDE)
+    found = full_run.hotspot_job(featured(spark, folder), epsilon=WIDE, method="distance")
     return found.regions.select("zipcode", "cluster_id", "risk_level", "risk_color")
 
 
+@query("h09_hotspot_job_hierarchy")
+def h09_hierarchy(spark, folder):
+    return full_run.hotspot_job(featured(spark, folder)).regions.select("zipcode", "cluster_id", "cluster_probability", "risk_level", "risk_color")
+
+
 WRITTEN_AS = {"map": "text", "quality": "json", "evaluation": "json", "evaluation_summary": "json", "map_metadata": "json", "run_summary": "json"}
 
 

@@ -11,7 +11,8 @@ from .. import params as P
 from ..functions.guards import present, with_statistics
 from ..functions.scores import risk_color, risk_level
 from ..session import cut_lineage
-from . import density
+from . import density, hierarchy
+from .components import components as connected, lookup
 
 
 def feature_matrix(regions: DataFrame, geo_weight: float = P.GEO_WEIGHT, columns: Sequence[str] = P.CLUSTER_COLUMNS) -> DataFrame:
@@ -92,29 +93,52 @@ def components(
     regions: DataFrame,
     epsilon: float = P.CLUSTER_EPSILON,
     min_size: int = P.MIN_CLUSTER_SIZE,
-    finish: int = density.FINISH_EDGES,
 ) -> DataFrame:
     """Density components at one distance: regions linked by tree edges up to epsilon.
 
-    Components smaller than ``min_size`` are noise (-1); the others are named by their smallest key: its number, or
-    its hash where keys are no numbers.
+    Components smaller than ``min_size`` are noise (-1); the others are named by their smallest key.
     """
-    _, labels = density.contract(tree.filter(F.col("w") <= epsilon), finish)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_size)
-    named = sizes.select("label", F.coalesce(F.col("first").try_cast("bigint"), F.xxhash64("first")).alias("_id"))
-    placed = labels.join(named, "label").select(F.col("id").alias("zipcode"), "_id")
+    labels = cut_lineage(connected(tree.filter(F.col("w") <= epsilon).select(F.lit(0).alias("node"), "a", "b")))
+    # a label is its component's smallest key, so a hot one needs no join to find its name
+    large = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).drop("n")
+    placed = lookup(labels, large.withColumn("_large", F.lit(True)), ["label"], "inner").select(F.col("v").alias("zipcode"), named("label").alias("_id"))
     return regions.select("zipcode").join(placed, "zipcode", "left").select(
         "zipcode", F.coalesce("_id", F.lit(-1)).cast("bigint").alias("cluster_id")
     )
 
 
+def named(key: str) -> Column:
+    """A cluster's number by its smallest key: the key's number, or its hash where keys are no numbers."""
+    return F.coalesce(F.col(key).try_cast("bigint"), F.xxhash64(key))
+
+
 def memberships(
     matrix: DataFrame,
     min_size: int = P.MIN_CLUSTER_SIZE,
     min_samples: int = P.MIN_SAMPLES,
     epsilon: float = P.CLUSTER_EPSILON,
 ) -> DataFrame:
-    """(zipcode, cluster_id, cluster_probability) of every region with a vector.
+    """(zipcode, cluster_id, cluster_probability) of every region with a vector, by the cluster hierarchy.
+
+    Clusters are those of the greatest excess of mass; one that begins below epsilon gives way to the first above it
+    that does not. They are named by their smallest key. Noise has probability 0.
+    """
+    found = measure(matrix, min_samples)
+    labels = cut_lineage(hierarchy.labels(tree_of(found), max(2, min_size), epsilon))
+    first = labels.groupBy("cluster").agg(F.min("point").alias("_first")).select("cluster", named("_first").alias("_id"))
+    placed = lookup(labels, first, ["cluster"], "inner").select(F.col("point").alias("zipcode"), "_id", "probability")
+    return found.members.select("zipcode").join(placed, "zipcode", "left").select(
+        "zipcode", F.coalesce("_id", F.lit(-1)).cast("bigint").alias("cluster_id"), F.coalesce("probability", F.lit(0.0)).alias("cluster_probability")
+    )
+
+
+def memberships_at_distance(
+    matrix: DataFrame,
+    min_size: int = P.MIN_CLUSTER_SIZE,
+    min_samples: int = P.MIN_SAMPLES,
+    epsilon: float = P.CLUSTER_EPSILON,
+) -> DataFrame:
+    """The same for the density components at one distance.
 
     The probability is the smallest core distance of the region's cluster over its own: 1 in the densest place, 0 for
     noise.
@@ -147,15 +171,20 @@ def detect(
     min_samples: int = P.MIN_SAMPLES,
     epsilon: float = P.CLUSTER_EPSILON,
     geo_weight: float = P.GEO_WEIGHT,
+    method: str = "hierarchy",
 ) -> DataFrame:
-    """Snapshot rows with cluster_id, cluster_probability, risk_level and risk_color."""
+    """Snapshot rows with cluster_id, cluster_probability, risk_level and risk_color.
+
+    ``method`` is "hierarchy" or "distance", which takes the density components at epsilon.
+    """
+    found = {"hierarchy": memberships, "distance": memberships_at_distance}[method]
     regions = cut_lineage(regions)
     matrix = feature_matrix(regions, geo_weight)
     n = matrix.count()
     if n < max(min_size, min_samples + 1):
         flat = regions.withColumns({"cluster_id": F.lit(-1).cast("bigint"), "cluster_probability": F.lit(0.0)})
         return with_risk(flat)
-    labelled = regions.join(memberships(matrix, min_size, min_samples, epsilon), "zipcode", "left").withColumns(
+    labelled = regions.join(found(matrix, min_size, min_samples, epsilon), "zipcode", "left").withColumns(
         {
             "cluster_id": F.coalesce("cluster_id", F.lit(-1).cast("bigint")),
             "cluster_probability": F.coalesce("cluster_probability", F.lit(0.0)),

@@ -76,8 +76,19 @@ def test_components_of_planted_blobs(spark, cloud):
     assert list(out[135:140]) == [135] * 5 and out[140] == -1
 
 
-def test_memberships_follow_density(spark, cloud):
-    out = hotspots.memberships(matrix_of(spark, cloud), min_size=10, epsilon=1.0).orderBy("zipcode").toPandas()
+def test_hierarchy_of_the_planted_blobs(spark, cloud):
+    from test_hierarchy import plain
+
+    _, reach = brute(cloud)
+    want = plain(reach, 10, 0.8)
+    out = hotspots.memberships(matrix_of(spark, cloud), min_size=10, epsilon=0.8).toPandas().set_index("zipcode")
+    assert out["cluster_id"].to_dict() == {f"{i:05d}": min(want[i][0]) if i in want else -1 for i in range(len(cloud))}
+    assert [out["cluster_probability"][f"{i:05d}"] for i in want] == pytest.approx([w[1] for w in want.values()])
+    assert set(out["cluster_id"]) == {0, 45, 90, -1}
+
+
+def test_memberships_at_a_distance_follow_density(spark, cloud):
+    out = hotspots.memberships_at_distance(matrix_of(spark, cloud), min_size=10, epsilon=1.0).orderBy("zipcode").toPandas()
     core, _ = brute(cloud)
     for blob in range(3):
         rows = slice(blob * 45, (blob + 1) * 45)
@@ -88,7 +99,7 @@ def test_memberships_follow_density(spark, cloud):
 
 def test_a_long_chain_is_one_cluster(spark):
     chain = matrix_of(spark, [[i * 0.5] for i in range(6_000)])
-    out = hotspots.memberships(chain, epsilon=1.0)
+    out = hotspots.memberships_at_distance(chain, epsilon=1.0)
     assert out.select("cluster_id").distinct().collect()[0][0] == 0 and out.count() == 6_000
 
 
