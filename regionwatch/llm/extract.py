@@ -78,10 +78,16 @@ NAMES = frozenset(
     "pagination pager widget copyright toolbar".split()
 )
 PAGE_HEADER = frozenset(("header", "topbar"))
+#: Parts of a class that tell a state or a layout ("has-sidebar", "comments-open"), not what the element is.
+STATES = frozenset("has with without no is hide show enabled disabled open closed on off free price".split())
+#: Parts that name the page's own text; a class of its own for it outweighs the layout in another one.
+OWN_TEXT = frozenset("content main article post page entry story site".split())
+#: Elements that may stand in a head; any other one ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'=]++|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?|[\"'])*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -103,25 +109,33 @@ class _Element(NamedTuple):
     furniture: bool
     in_article: bool
     heading: bool
+    in_form: bool = False  # furniture only because a form is around it
 
 
 def _element(name: str, rest: str, up: _Element) -> _Element:
     furniture, hidden = up.furniture or name in FURNITURE, False
+    in_form = up.in_form if up.furniture else name == "form"
+    if in_form and name in ARTICLE:  # a form around the whole page
+        furniture = in_form = False
+    named: list[str] = []
     if name == "header" and not up.in_article:
         furniture = True
     for key, *values in ATTRIBUTE.findall(rest) if rest else ():
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            parts = set(WORD_PARTS.findall(value))
-            if parts & NAMES and name not in ("html", "body"):
-                furniture = True
-            elif parts & PAGE_HEADER and not up.in_article and name not in ("html", "body"):
-                furniture = True
+            named += value.split()
         elif key == "role" and value in ROLES:
             furniture = True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    return _Element(name, up.unseen or hidden or name in UNSEEN, furniture, up.in_article or name in ARTICLE, up.heading or name in HEADINGS)
+    if named and name not in ("html", "body"):
+        parts = [set(WORD_PARTS.findall(n)) for n in named]
+        parts = [p for p in parts if not p & STATES]
+        if any(p & OWN_TEXT and not p & NAMES for p in parts):
+            parts = []
+        if any(p & NAMES or p & PAGE_HEADER and not up.in_article for p in parts):
+            furniture, in_form = True, False
+    return _Element(name, up.unseen or hidden or name in UNSEEN, furniture, up.in_article or name in ARTICLE, up.heading or name in HEADINGS, in_form)
 
 
 def blocks(html: str) -> list[Block]:
@@ -168,6 +182,8 @@ def blocks(html: str) -> list[Block]:
                     pass
             continue
         closed = m["rest"].endswith("/")
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
         if name == "br" or name == "wbr" or name == "hr" and not flush():
             if name != "wbr" and not stack[-1].unseen:
                 pieces.append((" ", False))

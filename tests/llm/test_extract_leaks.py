@@ -190,3 +190,35 @@ def test_odd_documents_and_items(spark, odd, none, monkeypatch):
         assert kept.schema == odd.schema and not {1, 2, 3, 9} & {r["doc_id"] for r in kept.collect()}
     assert decontaminate.leaks(none, items).isEmpty() and decontaminate.leaks(odd, items.limit(0)).isEmpty()
     assert decontaminate.without_leaks(odd, items.limit(0)).count() == odd.count()
+
+
+FIRST = "First paragraph has quite a lot of words in it so that it is certainly the text of an article and nothing else at all."
+SECOND = "Second paragraph also has many words and says something different, as a paragraph of running prose does on most pages."
+PROSE = f"<p>{FIRST}</p><p>{SECOND}</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="content has-sidebar">%s</div>', '<main class="with-sidebar">%s</main>', '<article class="post share-enabled">%s</article>',
+        '<article class="post-12 type-post comments-open">%s</article>', '<div id="content" class="site-content right-sidebar">%s</div>',
+        '<div id="page" class="no-menu">%s</div>', '<div class="share-price">%s</div>', '<div id="ad-free-zone">%s</div>',
+        '<form action="/"><main>%s</main></form>', '<form><div class="main">x</div></form><div>%s</div>',
+    ],
+)
+def test_layout_classes_hide_no_text(around):
+    text = extract.extract(f"<html><head><title>t</title></head><body><nav><a>menu</a></nav>{around % PROSE}</body></html>")
+    assert FIRST in text and SECOND in text and "menu" not in text
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "right-sidebar", "cookie-notice", "main-menu"])
+def test_furniture_by_name_is_left_out(name):
+    assert extract.extract(f'<body><div id="content">{PROSE}</div><div class="{name}"><p>{FIRST} Not this.</p></div></body>') == f"{FIRST}\n\n{SECOND}"
+
+
+def test_end_tag_of_a_head_and_stray_quotes():
+    want = f"{FIRST}\n\n{SECOND}"
+    assert extract.extract(f"<html><head><title>x</title><meta a=b><body><article>{PROSE}</article>") == want
+    assert extract.extract(f"<head><title>x</title>{PROSE}") == want
+    assert extract.extract(f'<body><p class=lead">{FIRST}</p><p id="b">{SECOND}</p>') == want
+    assert extract.extract(f"<body><p a=\"1>2\" b='>' c = \">\">{FIRST}</p><p '>{SECOND}</p>") == want
