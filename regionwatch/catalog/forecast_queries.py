@@ -96,6 +96,18 @@ def f05(spark, folder):
     return models.select("zipcode", "n_rows", "status", F.size("beta").alias("terms"))
 
 
+@query("f05_region_coefficients")
+def f05_coefficients(spark, folder):
+    """Every coefficient of every region's model; held against a plain fit in the tests."""
+    models = forecast.fit(frame(spark, folder))
+    return models.select("zipcode", "mode", "sigma", "change_size", F.posexplode("beta").alias("term", "coefficient"))
+
+
+@query("f05_trend_changes")
+def f05_changes(spark, folder):
+    return forecast.changes(forecast.fit(frame(spark, folder)))
+
+
 DAY = "(date - DATE '1970-01-01')::DOUBLE"
 BLOCKS["trained"] = (("labelled",), "SELECT * FROM labelled WHERE split = 'train'")
 BLOCKS["lines"] = (("trained",), f"""
@@ -133,6 +145,45 @@ def f06(spark, folder):
     return line_forecast(spark, folder)
 
 
+# A straight trend and a weekly rhythm added to it, without priors, are least squares on one line and a level for each
+# weekday: the slope is that of deviations from the weekday's means.
+BLOCKS["weekdays"] = (("trained",), f"SELECT zipcode, dayofweek(date) AS weekday, avg({DAY}) AS day, avg(er_visits) AS y FROM trained GROUP BY 1, 2")
+BLOCKS["weekly_line"] = (("trained", "weekdays"), """
+    SELECT *, sqrt(greatest(yy - slope * dy, 0) / n_rows) AS sigma FROM (SELECT zipcode, count(*) AS n_rows, sum(d * y) / sum(d * d) AS slope, sum(d * y) AS dy, sum(y * y) AS yy FROM (
+        SELECT t.zipcode, (t.date - DATE '1970-01-01')::DOUBLE - w.day AS d, er_visits - w.y AS y FROM trained AS t JOIN weekdays AS w ON w.zipcode = t.zipcode AND w.weekday = dayofweek(t.date)) AS c
+    GROUP BY zipcode) AS s""")
+WEEKLY_LINE = forecast.SeasonalOptions(mode=forecast.ADDITIVE, yearly=False, slope_scale=None, change_scale=0, season_scale=None)
+
+
+def weekly_line(spark, folder):
+    rows = forecast.forecast_frame(split_panel(spark, folder)[0], regressors=())
+    return rows, forecast.fit(rows, options=WEEKLY_LINE)
+
+
+@query("f05_additive_weekly", "SELECT zipcode, n_rows, slope * 1000 AS slope, sigma FROM weekly_line", needs=["weekly_line"], doubles=["slope", "sigma"], digits=5)
+def f05_weekly(spark, folder):
+    per_day = F.col("beta")[1] * F.col("y_scale") / F.datediff("end", "start")
+    return weekly_line(spark, folder)[1].select("zipcode", "n_rows", (per_day * 1000).alias("slope"), "sigma")
+
+
+@query("f06_additive_weekly", f"""
+    SELECT zipcode, ds, greatest(p, 0) AS yhat, greatest(p - {Z90!r}::DOUBLE * sigma, 0) AS yhat_lower, p + {Z90!r}::DOUBLE * sigma AS yhat_upper FROM (
+        SELECT zipcode, ds, sigma, w.y + slope * ((ds - DATE '1970-01-01')::DOUBLE - w.day) AS p
+        FROM (SELECT zipcode, CAST(max(date) + CAST(i AS INTEGER) AS DATE) AS ds FROM trained, range(1, {P.FORECAST_HORIZON + 1}) AS r(i) GROUP BY zipcode, i) AS t
+        JOIN weekly_line USING (zipcode) JOIN (SELECT zipcode AS z, weekday, day, y FROM weekdays) AS w ON w.z = zipcode AND w.weekday = dayofweek(ds)) AS q""",
+       needs=["weekly_line", "weekdays"], doubles=["yhat", "yhat_lower", "yhat_upper"], digits=5)
+def f06_weekly(spark, folder):
+    rows, models = weekly_line(spark, folder)
+    return forecast.predict(models, forecast.future_frame(rows, history=False))
+
+
+@query("f06_seasonal_rows")
+def f06_rows(spark, folder):
+    """The forecast itself, with its interval; held against a plain fit in the tests."""
+    rows = forecast.forecast_frame(clean.split(cleaned(spark, folder))[0])
+    return forecast.predict(forecast.fit(rows), forecast.future_frame(rows, history=False))
+
+
 @query("f06_seasonal_forecast", f"""SELECT zipcode, CAST(last + CAST(i AS INTEGER) AS DATE) AS ds, true AS finite, true AS ordered
     FROM (SELECT zipcode, max(date) AS last FROM trained GROUP BY zipcode) AS t, range(1, {P.FORECAST_HORIZON + 1}) AS r(i)""", needs=["trained"])
 def f06_seasonal(spark, folder):
@@ -202,6 +253,23 @@ def f08(spark, folder):
     return history.select("split", "n_samples", in_order(history).alias("in_order"))
 
 
+@query("f08_lag_errors")
+def f08_errors(spark, folder):
+    return lag_regression.fit(clean.split(cleaned(spark, folder))[0])[1]
+
+
+@query("f10_sequence_errors")
+def f10_errors(spark, folder):
+    train, _, test = clean.split(cleaned(spark, folder))
+    return lag_regression.evaluate_sequences(lag_regression.fit(train)[0], test)
+
+
+@query("f11_forecast_errors")
+def f11_errors(spark, folder):
+    train, _, test = clean.split(cleaned(spark, folder))
+    return forecasting.run(train, test).results
+
+
 BLOCKS["global_ends"] = (("trained",), f"SELECT zipcode, max(date) AS last FROM trained GROUP BY zipcode HAVING count(*) >= {P.LOOKBACK}")
 
 

@@ -160,7 +160,7 @@ def parsed_features(lines):
 @query("s14_model_table", MODELS_SQL, needs=["clean"])
 def s14(spark, folder):
     models = forecast.fit(forecast.forecast_frame(cleaned(spark, folder)))
-    path = sinks.save_models(models, work_folder(spark, "models"), "seasonal ridge")
+    path = sinks.save_models(models, work_folder(spark, "models"), "seasonal")
     return sinks.load_models(spark, path).select("zipcode", "status", "n_rows", F.size("beta").alias("terms"))
 
 

@@ -18,7 +18,7 @@ from .. import params as P
 from ..functions.guards import one_row
 from ..session import reuse
 from .forecast import dot
-from .metrics import evaluate
+from .metrics import METRICS, evaluate
 from .sequences import last_rows, lookback_sequences
 
 SIGNALS = ("er_visits", "pharmacy_sales", "negative_sentiment", "aqi", "temperature_c")
@@ -80,10 +80,10 @@ def predict(model: LagModel, rows: DataFrame) -> DataFrame:
     return rows.withColumn("yhat", dot(F.col("x"), weights) + F.lit(model.intercept))
 
 
-def evaluate_sequences(model: LagModel, df: DataFrame, target: str = P.TARGET) -> DataFrame:
+def evaluate_sequences(model: LagModel, df: DataFrame, target: str = P.TARGET, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Metrics over all sequences of the frame, one global row."""
     rows = predict(model, windows(df, model.features, target, model.lookback))
-    return evaluate(rows.withColumn("model", F.lit("lag_regression")), ["model"])
+    return evaluate(rows.withColumn("model", F.lit("lag_regression")), ["model"], metrics=metrics)
 
 
 def forecast(model: LagModel, df: DataFrame, horizon: int = P.FORECAST_HORIZON, target: str = P.TARGET) -> DataFrame:

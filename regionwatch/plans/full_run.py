@@ -37,17 +37,23 @@ def full_run(
     window_days: int = 30,
     horizon: int = P.FORECAST_HORIZON,
     unique: bool = False,
+    feature_options: Mapping[str, object] | None = None,
+    hotspot_options: Mapping[str, object] | None = None,
+    forecast_options: Mapping[str, object] | None = None,
 ) -> dict[str, str]:
-    """Preprocess, features, hotspots, forecasts; writes everything and returns the paths."""
+    """Preprocess, features, hotspots, forecasts; writes everything and returns the paths.
+
+    The options are keyword arguments of ``jobs.feature_job``, ``hotspots.detect`` and ``forecasting.run``.
+    """
     with released():
         prepared = jobs.preprocess(sources, regions, unique)
-        made = jobs.feature_job(prepared.panel)
+        made = jobs.feature_job(prepared.panel, **(feature_options or {}))
         written = {"features": sinks.write_table(made, f"{folder}/features", ("zipcode",))}
         # later stages read the written table instead of computing the features again; keys keep their leading zeros
         features = made.sparkSession.read.schema(made.schema).parquet(written["features"])
         train, _, test = clean.split(features)
-        hot = hotspot_job(features, window_days)
-        ahead = forecasting.run(train, test, horizon)
+        hot = hotspot_job(features, window_days, **(hotspot_options or {}))
+        ahead = forecasting.run(train, test, horizon, **(forecast_options or {}))
         written["regions"] = sinks.write_table(hot.regions, f"{folder}/regions")
         written["map"] = sinks.write_map(hot.regions, f"{folder}/map")
         written["forecast"] = sinks.write_forecasts(ahead.forecast, f"{folder}/forecast")
