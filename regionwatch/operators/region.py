@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params as P
 from ..functions.guards import earliest, numeric_columns, one_row, present
@@ -105,12 +105,18 @@ def risk_heatmap_wide(df: DataFrame, n: int = 15, days: int = 60, score: str = "
     return pivoted.agg(F.first(score)).na.fill(0.0).orderBy("zipcode")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of the rows that have both; null where a column is constant there, which ``corr`` divides by."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0))
+
+
 def correlation_matrix(df: DataFrame, zipcode: str | None = None, columns: Sequence[str] = CORRELATED) -> DataFrame:
     """Pearson matrix in long form from one aggregate."""
     columns = present(df, columns)
     rows = df if zipcode is None else df.filter(F.col("zipcode") == zipcode)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = rows.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     entries = [
         F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{a}|{b}`").alias("corr"))
         for a, b in pairs
@@ -122,7 +128,7 @@ def correlation_matrix(df: DataFrame, zipcode: str | None = None, columns: Seque
 def target_correlations(df: DataFrame, target: str = P.TARGET, n: int = 20) -> DataFrame:
     """Numeric columns by absolute correlation with the target, strongest first."""
     columns = [c for c in numeric_columns(df) if c != target]
-    row = df.agg(*[F.abs(F.corr(c, target)).alias(c) for c in columns])
+    row = df.agg(*[F.abs(correlation(c, target)).alias(c) for c in columns])
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("abs_corr")) for c in columns]
     tall = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     usable = tall.filter(F.col("abs_corr").isNotNull() & ~F.isnan("abs_corr"))

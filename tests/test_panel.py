@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from regionwatch import params as P
 from regionwatch.functions.quantiles import exact_quantiles
-from regionwatch.operators import clean, lookup, merge, quality
+from regionwatch.operators import clean, lookup, merge, quality, region
 from regionwatch.sources import derived, payloads, sinks, tables
 from regionwatch.session import work_folder
 
@@ -190,3 +191,12 @@ def test_panel_counts_every_line_item(spark):
     folder = "/root/testdata/sf0.001"
     panel = derived.long_panel(spark, folder)
     assert panel.agg(F.sum("post_volume")).first()[0] == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_correlations_with_a_constant_column(spark):
+    rows = [("z", 1.0, 2.0, 10.0), ("z", 2.0, 3.0, 10.0), ("z", 3.0, 5.0, 10.0), ("z", None, 9.0, 10.0), ("z", 4.0, None, 7.0)]
+    df = spark.createDataFrame(rows, "zipcode string, aqi double, er_visits double, precipitation_mm double")
+    got = {r["feature"]: r["abs_corr"] for r in region.target_correlations(df).collect()}
+    assert got == {"aqi": pytest.approx(np.corrcoef([1, 2, 3], [2, 3, 5])[0, 1])}
+    matrix = {(r["a"], r["b"]): r["corr"] for r in region.correlation_matrix(df.withColumn("aqi", F.lit(4.0)), columns=["aqi", "er_visits"]).collect()}
+    assert matrix["aqi", "er_visits"] is None and matrix["aqi", "aqi"] is None and matrix["er_visits", "er_visits"] == pytest.approx(1)
