@@ -126,13 +126,12 @@ def correlation_matrix(df: DataFrame, zipcode: str | None = None, columns: Seque
 
 
 def target_correlations(df: DataFrame, target: str = P.TARGET, n: int = 20) -> DataFrame:
-    """Numeric columns by absolute correlation with the target, strongest first."""
+    """Numeric columns by absolute correlation with the target, strongest first; those without one are null and last."""
     columns = [c for c in numeric_columns(df) if c != target]
     row = df.agg(*[F.abs(correlation(c, target)).alias(c) for c in columns])
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("abs_corr")) for c in columns]
     tall = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    usable = tall.filter(F.col("abs_corr").isNotNull() & ~F.isnan("abs_corr"))
-    return usable.orderBy(F.col("abs_corr").desc(), "feature").limit(n)
+    return tall.withColumn("abs_corr", F.nanvl("abs_corr", F.lit(None))).orderBy(F.col("abs_corr").desc_nulls_last(), "feature").limit(n)
 
 
 def region_means(df: DataFrame, column: str = "pharmacy_sales") -> DataFrame:

@@ -197,6 +197,6 @@ def test_correlations_with_a_constant_column(spark):
     rows = [("z", 1.0, 2.0, 10.0), ("z", 2.0, 3.0, 10.0), ("z", 3.0, 5.0, 10.0), ("z", None, 9.0, 10.0), ("z", 4.0, None, 7.0)]
     df = spark.createDataFrame(rows, "zipcode string, aqi double, er_visits double, precipitation_mm double")
     got = {r["feature"]: r["abs_corr"] for r in region.target_correlations(df).collect()}
-    assert got == {"aqi": pytest.approx(np.corrcoef([1, 2, 3], [2, 3, 5])[0, 1])}
+    assert got == {"aqi": pytest.approx(np.corrcoef([1, 2, 3], [2, 3, 5])[0, 1]), "precipitation_mm": None}
     matrix = {(r["a"], r["b"]): r["corr"] for r in region.correlation_matrix(df.withColumn("aqi", F.lit(4.0)), columns=["aqi", "er_visits"]).collect()}
     assert matrix["aqi", "er_visits"] is None and matrix["aqi", "aqi"] is None and matrix["er_visits", "er_visits"] == pytest.approx(1)
