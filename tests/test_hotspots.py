@@ -129,3 +129,10 @@ def test_region_without_coordinates_is_noise(spark):
     rows = regions_of(spark, 6).withColumn("lat", F.when(F.col("zipcode") != "00002", F.col("lat")))
     out = {r["zipcode"]: r["cluster_id"] for r in hotspots.detect(rows).collect()}
     assert len(out) == 6 and out["00002"] == -1
+
+
+def test_only_the_outlier_visits_far_blocks(spark):
+    rows = [(str(i), [float(b * 10), i / 100], f"{b}", 0.5 if i else 25.0) for b in range(4) for i in range(20)]
+    seekers = spark.createDataFrame(rows, "id string, x array<double>, block string, reach double")
+    met = density.visits(seekers, density.Boxes.of(seekers)).collect()
+    assert {(r["id"], r["block"], r["target"]) for r in met} == {("0", str(a), str(b)) for a in range(4) for b in range(4) if 0 < abs(a - b) < 3}
