@@ -27,7 +27,7 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces that are packed together.
 GROUP = 50_000
-#: Distinct pieces of text whose ids a worker remembers; the table starts anew beyond it.
+#: Distinct pieces of text whose ids a task remembers; the table starts anew beyond it.
 REMEMBERED = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -43,7 +43,8 @@ def tokenizer(path: str):
 class Encoder:
     """Token ids of texts, as the tokenizers library gives them; each distinct piece is encoded once and remembered.
 
-    No pre-token spans two pieces, so the ids of a text are those of its pieces in a row.
+    No pre-token spans two pieces, so the ids of a text are those of its pieces in a row. A full table takes some 200 MB,
+    so it belongs to a task and goes with it: a worker that kept it would hold it through all later stages.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,8 +86,8 @@ class Encoder:
             yield self.ids[shift + np.arange(len(shift))]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    """A new one, for one task."""
     return Encoder(path)
 
 
@@ -94,9 +95,10 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     """One row a piece: full windows from the start of each document, and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = encoder(path)
         for b in slices(batches):
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), task.encode(b.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for at in range(0, len(ids), WINDOW):
                     part = ids[at : at + WINDOW]

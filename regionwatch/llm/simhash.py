@@ -35,7 +35,7 @@ BITS = 64
 
 #: Hashes whose bits are counted at a time, variants made at a time, and fingerprints in a shuffled block.
 HASHES_AT_A_TIME = 1 << 16
-VARIANTS_AT_A_TIME = 1 << 21
+VARIANTS_AT_A_TIME = 1 << 20
 BLOCK = 1 << 15
 #: Beyond so many distinct fingerprints a plain bit more tells cells apart, again for each doubling.
 FINGERPRINTS_PER_CELL = 500_000

@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from regionwatch.llm import packing, queries, tokens
+from regionwatch.llm import common, packing, queries, tokens
 
 PATH = queries.vocabulary_path()
 
@@ -113,3 +114,18 @@ def test_best_fit_takes_the_tightest_window():
         assert o == used.get(w, 0) and 100 - o == tight
         used[w] = o + n
     assert len(used) == len(room)
+
+
+def test_a_worker_keeps_neither_the_table_nor_spare_memory(monkeypatch):
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_pydict({"text": ["some words"] * 5})
+    assert [b.num_rows for b in common.slices(iter([batch, batch]), 3)] == [3, 2, 3, 2] and released == [True]
+    first = packing.encoder(PATH)
+    list(first.encode(["some words"]))
+    assert first.known and not packing.encoder(PATH).known
