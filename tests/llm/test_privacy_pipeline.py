@@ -123,6 +123,16 @@ def test_prefix_sums(spark):
         assert r["p"] == [sum(r["v"][: k + 1]) for k in range(len(r["v"]))]
 
 
+def test_a_bound_value_is_computed_once(spark):
+    """A mention's text is searched once a pattern, and a row of a mention does not carry its document's spans."""
+    drawn = spark.range(20).select(common.bound(F.rand(), lambda v: F.array(v, v + 0, F.lit(1.0) * v)).alias("v")).collect()
+    assert all(len(set(r["v"])) == 1 for r in drawn) and len({r["v"][0] for r in drawn}) > 1
+    plan = spark.range(1).select(privacy.matches(F.col("id").cast("string"), privacy.WORD).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+    base = privacy._with_base(spark.createDataFrame([("mail a@b.cd garden",)], "text string").withColumn("_row", F.lit(0)))
+    assert "explode(_base" not in privacy._mentions(base)._jdf.queryExecution().analyzed().toString()
+
+
 # --- pipeline -----------------------------------------------------------------
 
 
