@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,14 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Numbers(dict[bytes, int]):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Encoder:
     """Token ids of texts, as the tokenizers library gives them; each distinct piece is encoded once and remembered.
 
@@ -52,34 +61,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"<|" not in w]
+        """Adds the ids of the pieces that were numbered last."""
+        odd = [i for i, w in enumerate(new) if b"<|" in w]  # may hold special tokens: the library encodes them
+        plain = [w for w in new if b"<|" not in w] if odd else new
         ids, sizes = encoded_pieces(vocabulary(self.path), plain)
-        odd = [w for w in new if b"<|" in w]  # may hold special tokens: the library encodes them
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
         if odd:
-            got = [e.ids for e in tokenizer(self.path).encode_batch([w.decode("utf-8", "surrogatepass") for w in odd], add_special_tokens=False)]
+            got = [e.ids for e in tokenizer(self.path).encode_batch([new[i].decode("utf-8", "surrogatepass") for i in odd], add_special_tokens=False)]
+            more = np.fromiter(map(len, got), np.int64, len(got))
+            places = np.array(odd) - np.arange(len(odd))  # among the plain pieces
+            starts = np.insert(starts, places, len(self.ids) + len(ids) + np.cumsum(more) - more)
+            sizes = np.insert(sizes, places, more)
             ids = np.concatenate([ids, *(np.array(g, np.uint32) for g in got)])
-            sizes = np.concatenate([sizes, np.fromiter(map(len, got), np.int64, len(got))])
-        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids])
 
+    def _numbers(self, words: list[list[bytes]]) -> list[np.ndarray]:
+        """The number of each piece, text after text; one look into the table for each."""
+        return [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in words]
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         words = [text_pieces(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
+        numbers = self._numbers(words)
+        if len(self.known) > REMEMBERED and len(self.sizes):
             self._forget()
-            new = list({w for ws in words for w in ws})
-        if new:
-            self._learn(new)
-        for ws in words:
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+            numbers = self._numbers(words)
+        if len(self.known) > len(self.sizes):
+            self._learn(list(islice(self.known, len(self.sizes), None)))
+        for at in numbers:
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             shift = np.repeat(self.starts[at] - (ends - sizes), sizes)

@@ -129,3 +129,19 @@ def test_a_worker_keeps_neither_the_table_nor_spare_memory(monkeypatch):
     first = packing.encoder(PATH)
     list(first.encode(["some words"]))
     assert first.known and not packing.encoder(PATH).known
+
+
+def test_a_known_piece_is_looked_up_once(monkeypatch):
+    asked = []
+
+    class Piece(bytes):
+        def __hash__(self):
+            asked.append(self)
+            return bytes.__hash__(self)
+
+    task, text = packing.Encoder(PATH), "some words and some more <|endoftext|>x words. End."
+    want = library_ids([text, None])
+    assert [x.tolist() for x in task.encode([text, None])] == want
+    monkeypatch.setattr(packing, "text_pieces", lambda raw: list(map(Piece, tokens.text_pieces(raw))))
+    assert [x.tolist() for x in task.encode([text, None])] == want
+    assert len(asked) == len(tokens.text_pieces(text.encode()))
