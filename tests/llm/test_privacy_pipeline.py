@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -99,6 +100,52 @@ def test_terms_seen_in_one_or_two_documents(spark):
     assert all(clean[i] == t for i, t in rows[:400])
 
 
+def test_terms_far_from_the_mention(spark):
+    """The whole text is judged: a name far from the address, at any edge and beside a number, goes as a near one does."""
+    filler = "letter about the garden in winter and summer "
+    rows = [(i, filler * 20) for i in range(400)]
+    rows += [(400, f"Zaphodine {filler * 9}one@mail.example {filler * 9}Qwertyone"), (401, f"{filler}éééétwo@mail.example Müllerone+1 (555) 123-4567")]
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[400] == f"<TERM> {filler * 9}<EMAIL> {filler * 9}<TERM>"
+    assert clean[401] == f"{filler}éééé<EMAIL> <TERM><PHONE>"
+    assert all(clean[i] == t for i, t in rows[:400])
+
+
+def plain_terms(rows):
+    """(row, start, end) of the terms that disclose, from a table of all entities and words."""
+    n, spans, words, first = len(rows), {}, {}, {}
+    for i, t in rows:
+        spans[i] = plain_spans(t)
+        first[i] = {(k, re.sub("[^0-9]", "", t[a:b]) if k > 1 else t[a:b].lower()) for a, k, b, _ in spans[i]}
+        words[i] = [m for m in re.finditer(r"[^\W_]+", t) if len(m[0]) > 3 and m[0].isalpha() and not any(a < m.end() and m.start() < b for a, _, b, _ in spans[i])]
+    out = set()
+    for i, t in rows:
+        for e in first[i]:
+            with_e = [j for j, _ in rows if e in first[j]]
+            for m in words[i]:
+                term = m[0].lower()
+                n_t = sum(term in re.findall(r"[^\W_]+", u.lower()) for _, u in rows)
+                both = [j for j in with_e if any(w[0].lower() == term for w in words[j])]
+                contexts = len({dict(rows)[j] for j in both})
+                n_te = len(both) * (1 - 0.5 / contexts if contexts < 3 else 1)
+                ic = math.log(n / len(with_e))
+                if ic > 0 and math.log(n * n_te / (n_t * len(with_e))) / ic >= 0.85:
+                    out.add((i, m.start(), m.end()))
+    return out
+
+
+def test_terms_equal_a_plain_table(spark):
+    rng = random.Random(8)
+    names, mails = [f"Name{c}" for c in "abcdefghij"], [f"{c}@mail.example" for c in "pqrst"]
+    said = lambda: " ".join(rng.choices([*names[:2], "garden", "winter", "letter", "abc"], k=rng.randint(0, 40)))
+    rows = [(i, said()) for i in range(150)]
+    rows += [(150 + i, f"{said()} {rng.choice(names)} {said()} {rng.choice(mails)} {said()} {rng.choice([*mails, '1.2.3.4'])}") for i in range(40)]
+    rows += [(190 + i, "Nameq and Namer wrote to q@mail.example") for i in range(3)]
+    found = privacy.digest(privacy.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in found for s in r["spans"].split(",") if s.startswith("term")}
+    assert got == plain_terms(rows) and got
+
+
 def test_odd_documents(odd, none):
     rows = privacy.digest(privacy.find(odd)).collect()
     assert len(rows) == odd.count()
