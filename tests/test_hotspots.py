@@ -6,6 +6,7 @@ import glob
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,41 @@ def test_core_distance_and_tree_match_brute_force(spark, cloud, block_size):
     assert sum(r["w"] for r in tree) == pytest.approx(tree_weight(reach))
 
 
+@pytest.mark.parametrize("region_points", [120_000, 300])
+def test_tree_of_regions_matches_brute_force(spark, monkeypatch, region_points):
+    """One region grows the whole tree without a pass; several leave what may lie across them; ties, copies and far groups included."""
+    passes, look = [], density._look_farther
+    monkeypatch.setattr(density, "_look_farther", lambda *args: passes.append(1) or look(*args))
+    rng = np.random.default_rng(6)
+    grid = np.stack(np.meshgrid(*[np.arange(8.0)] * 3), -1).reshape(-1, 3) / 4
+    points = np.vstack([rng.normal(0, 1, (300, 3)), rng.normal(9, 0.2, (200, 3)), grid + 30, grid[:40] + 30, rng.normal(0, 40, (20, 3))])
+    _, reach = brute(points)
+    found = hotspots.measure(matrix_of(spark, points), 2, 64)
+    tree = hotspots.with_copies(density.spanning_tree(found.points, found.boxes, region_points=region_points), found.members).collect()
+    assert len(tree) == len(points) - 1
+    top = list(range(len(points)))
+    for r in tree:
+        a, b = int(r["a"]), int(r["b"])
+        assert r["w"] == pytest.approx(reach[a, b])
+        top = [top[a] if t == top[b] else t for t in top] if top[a] != top[b] else pytest.fail("a cycle")
+    assert sum(r["w"] for r in tree) == pytest.approx(tree_weight(reach)) and bool(passes) == (region_points == 300)
+
+
+def test_what_lies_beyond_a_region_limits_it():
+    """Cells tell no more than the distance to the nearest box beyond, and join no group that a nearer point may lie outside of."""
+    rng = np.random.default_rng(9)
+    x, low = rng.normal(0, 1, (700, 3)), rng.normal(0, 6, (90, 3))
+    high = low + rng.uniform(0, 1, low.shape)
+    told, true = density._Cells(x, np.zeros(700, dtype=int)).beyond(x, low, high), density._gaps(x, low, high).min(axis=1)
+    assert (told <= true).all() and (told[true < 1] == true[true < 1]).all()
+    points = pd.DataFrame({"id": ["a", "b", "c", "d"], "x": [[0.0], [1.0], [10.0], [13.0]], "core": 0.5, "seen": 0.1, "region": 0})
+    edges = pd.DataFrame({c: [] for c in ("p", "q", "a", "b", "w", "sp", "sq", "gp", "gq", "region")})
+    out = density._grown(edges, points, np.array([[12.0]]), np.array([[12.5]]))
+    assert [tuple(r) for r in out[out["kind"] == "tree"][["a", "b", "w"]].to_numpy()] == [("a", "b", 1.0)]
+    alone = density._grown(edges, points, np.zeros((0, 1)), np.zeros((0, 1)))
+    assert sorted(alone[alone["kind"] == "tree"]["w"]) == [1.0, 3.0, 9.0]
+
+
 def test_rounds_and_bounded_finish_agree(spark, cloud):
     _, reach = brute(cloud[:60])
     edges = [(f"{i:05d}", f"{j:05d}", float(reach[i, j])) for i in range(60) for j in range(i + 1, 60) if (i + j) % 3 or j == i + 1]
